@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +28,13 @@ def whole_text(c: str = "text") -> Column:
 def two_hashes(c: Column, name: str = "__h") -> list[Column]:
     """128 bits as two longs: xxHash under two seeds."""
     return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit("second"), c).alias(f"{name}2")]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter.
+
+    A folder of our own is set only where the session names none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

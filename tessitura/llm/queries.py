@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import chat, license_scan, line_dedup, pii
+from tessitura.llm import bpe, chat, ctph, license_scan, line_dedup, near_dup, pii
 from tessitura.llm.common import table
 
 
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary that op3 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    done = ctph.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text of every document."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     found = license_scan.scan(table(spark, sf_dir, "documents"))
@@ -96,6 +119,9 @@ ORACLES = {
 }
 
 QUERIES = {
+    "op1_ctph": op1_ctph,
+    "op2_near_dup": op2_near_dup,
+    "op3_bpe": op3_bpe,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
     "op8_line_dedup": op8_line_dedup,
