@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import checkpointed, two_hashes, whole_text
-from tessitura.llm.words import ODD, hash_words, mix, shingles
+from tessitura.llm.words import KEY_BITS, ODD, hash_words, keyed, mix, shingles
 
 WORDS, SIMILARITY, ROWS, BANDS = 5, 0.8, 5, 24
 #: A key of its own for each join, so that both sides are dealt out for it and AQE can split what is skewed.
@@ -75,18 +75,18 @@ def _throw(region: np.ndarray, owner: np.ndarray, reach: np.ndarray, k: int, sha
 
 
 def _sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each lower-cased text, ordered by text and hash; and their texts."""
+    """Distinct shingles (KEY_BITS bits each) of each lower-cased text, ordered by text and hash; and their texts."""
     h, of = shingles(*hash_words([t.lower() for t in texts]), words)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
-    return h[fresh], of[fresh]
+    keys = keyed(h, of)
+    if len(keys):
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    return keys & np.uint64(2**KEY_BITS - 1), (keys >> np.uint64(KEY_BITS)).astype(np.int64)
 
 
 def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
-        size += len(t)
+        size += len(t) + 1
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             for a, b in _groups(texts):
                 h, of = _sets(texts[a:b], words)
                 cut = np.searchsorted(of, np.arange(1, b - a))
-                sets += [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in np.split(h, cut)]
+                sets += [np.unique((x >> np.uint64(KEY_BITS - 32)).astype(np.uint32)).tobytes() for x in np.split(h, cut)]
             yield pd.DataFrame({"id": batch["id"], "set": sets})
 
     # A repeated row would double its links, so one row of each id stays; they share their place after the join.

@@ -100,3 +100,12 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray
             h = mix(h + np.where(left > j, padded[j : j + len(hashes)], 0).astype(np.uint64) + np.uint64(ODD * (j + 1) % 2**64))
     keep = (left >= n) | (np.arange(len(hashes)) == starts[of]) & (counts[of] < n)
     return h[keep], of[keep]
+
+
+#: Bits of a hash that stand beside a text's number in one sortable key; a group has at most 2**20 texts.
+KEY_BITS = 44
+
+
+def keyed(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Text numbers and the upper KEY_BITS bits of hashes in one number each, sorted."""
+    return np.sort((of.astype(np.uint64) << np.uint64(KEY_BITS)) | (hashes >> np.uint64(64 - KEY_BITS)))
