@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import bpe, chat, ctph, decontam, license_scan, line_dedup, near_dup, pii, quality
+from tessitura.llm import bpe, chat, ctph, decontam, license_scan, line_dedup, near_dup, pii, quality, suffix_dedup
 from tessitura.llm.common import table
 
 
@@ -62,6 +62,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 100-byte strings that start earlier."""
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more documents share."""
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -140,6 +146,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
