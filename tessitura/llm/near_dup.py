@@ -110,9 +110,9 @@ def band_hashes(texts: list[str], words: int = WORDS, rows: int = ROWS, bands: i
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """A join that deals out both sides anew by a masked key."""
+    """A join that deals out both sides anew by a masked key. Never by broadcast: over many rounds the driver would gather the tables of all."""
     masked = lambda df: df.withColumn("__key", F.col(key).bitwiseXOR(F.lit(MASK))).drop(key)
-    return masked(left).join(masked(right), "__key", how).withColumn(key, F.col("__key").bitwiseXOR(F.lit(MASK))).drop("__key")
+    return masked(left).join(masked(right).hint("merge"), "__key", how).withColumn(key, F.col("__key").bitwiseXOR(F.lit(MASK))).drop("__key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             yield pd.DataFrame({"id": batch["id"], "set": sets})
 
     # A repeated row would double its links, so one row of each id stays; they share their place after the join.
-    sets = checkpointed(base.filter("id is not null").select("id", "text").join(candidates, "id", "left_semi").mapInPandas(collect, "id long, set binary").dropDuplicates(["id"]))
+    sets = checkpointed(base.filter("id is not null").select("id", "text").join(candidates.hint("merge"), "id", "left_semi").mapInPandas(collect, "id long, set binary").dropDuplicates(["id"]))
     links = None
     while True:
         weight = open_rows.groupBy("rep").agg(F.sum("n").alias("w"))
@@ -202,21 +202,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         found = judged.filter("ok").select("a", "b")
         links = found if links is None else links.unionByName(found)
         # What is not like its centre stays in the bucket.
-        left = starred.join(judged.filter("not ok").select(F.col("a").alias("rep"), F.col("b").alias("c")), ["rep", "c"], "left_semi").select("h", "rep")
+        left = starred.join(judged.filter("not ok").select(F.col("a").alias("rep"), F.col("b").alias("c")).hint("merge"), ["rep", "c"], "left_semi").select("h", "rep")
         again = left.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
         open_rows = checkpointed(_joined(left, again, "h"))
         if open_rows.isEmpty():
             break
     known = components(links) if links is not None else spark.createDataFrame([], "node long, class long")
-    classes = reps.select("t1", "t2", "rep").join(known, F.col("rep") == F.col("node"), "left").select(F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2"), "rep", F.coalesce("class", "rep").alias("class"))
-    return base.select("id", F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2")).join(classes, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("rep").alias("copy_of"))
+    classes = reps.select("t1", "t2", "rep").join(known.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2"), "rep", F.coalesce("class", "rep").alias("class"))
+    return base.select("id", F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2")).join(classes.hint("merge"), ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("rep").alias("copy_of"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class, one for each class; rows with a null id go only if a row with an id has their text."""
     classes = near_duplicates(docs, id_col=id_col, **how)
     stay = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__stay")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(stay.hint("merge"), F.col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
     # A row without an id stays if no row with an id has its text, one for each text.
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
