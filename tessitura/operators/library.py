@@ -113,3 +113,41 @@ def fuzzy_rank(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def trigrams(c: Column) -> Column:
     return F.array_distinct(F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+
+
+def token_octave(token: Column) -> Column:
+    """Octave of a written token: "'" counts up, "." down."""
+    marks = F.regexp_extract(token, r"(['.]*)$", 1)
+    return (F.length(F.regexp_replace(marks, "[.]", "")) - F.length(F.regexp_replace(marks, "'", ""))).cast("int")
+
+
+def token_line(line: Column, pattern: str, least: int = 8, share: float = 0.8) -> Column:
+    """Whether a line has ``least`` tokens or more of which a share matches."""
+    t = F.filter(F.split(line, " "), lambda x: x != "")
+    return (F.size(t) >= least) & (F.size(F.filter(t, lambda x: x.rlike(pattern))) / F.size(t) >= share)
+
+
+def gcd(a: Column, b: Column, steps: int = 16) -> Column:
+    """Greatest common divisor of small numbers by Euclid's steps."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))["a"]
+
+
+def lcm_of(values: Column) -> Column:
+    """Least common multiple of an array of small positive numbers."""
+    return F.aggregate(values, F.lit(1).cast("long"), lambda t, x: (t / gcd(t, x) * x).cast("long")).cast("int")
+
+
+def staged_load(new: DataFrame, old: DataFrame, key: str, match: list[str]) -> DataFrame:
+    """(key, kriti_id, inserted): new rows linked to the old row with the smallest key that agrees in ``match``; those without one are inserted once for each value of ``match``, then linked."""
+    have = old.groupBy(*match).agg(F.min(key).alias("__old"))
+    linked = new.select(key, *match).join(have, match, "left")
+    fresh = linked.filter("__old is null").groupBy(*match).agg((F.min(key) + 1000000).alias("__new"))
+    return linked.join(fresh, match, "left").select(key, F.coalesce("__old", "__new").alias("kriti_id"), F.col("__old").isNull().alias("inserted"))
+
+
+def notation_lines(notes: DataFrame, width: int = 8) -> DataFrame:
+    """(clip_id, row_no, line): tokens of ``width`` notes a line; octaves above marked by "'", below by "."."""
+    token = F.concat("label", F.when(F.col("oct") > 0, F.repeat(F.lit("'"), F.col("oct"))).when(F.col("oct") < 0, F.repeat(F.lit("."), -F.col("oct"))).otherwise(""))
+    rows = notes.select("clip_id", "idx", F.floor(F.col("idx") / width).cast("long").alias("row_no"), token.alias("token"))
+    return rows.groupBy("clip_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda t: t["token"]), " ").alias("line"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import music, names
 from tessitura.operators import frames as fr
+from tessitura.operators import kernels, tune
 from tessitura.operators import library as lib
+from tessitura.streaming import practice
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -465,3 +467,112 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {NOTES}, c as (select clip_id, label, oct, count(*) as n_notes, round(sum(dur), 6) as dur from notes group by all), r as (select *, row_number() over (partition by clip_id order by n_notes desc, label, oct) as rank from c) select * from r where rank <= 5""")
 def top_notes(spark, sf_dir):
     return entry(spark, sf_dir)
+
+
+# Kernels, tuning, loading and streams.
+
+
+@query("select n_nationkey, n_nationkey as semitone, 15::bigint as frames from nation")
+def yin_track(spark, sf_dir):
+    """A tone of 5,000 samples for each nation, one semitone apart, tracked."""
+    rate = 16000
+    hz = 110 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)
+    pcm = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda k: F.sin(2 * 3.141592653589793 * hz * k / rate) + 0.5 * F.sin(4 * 3.141592653589793 * hz * k / rate))
+    clips = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("clip_id"), F.lit(rate).alias("sr"), pcm.alias("pcm"))
+    f = kernels.yin_track(clips).groupBy("clip_id").agg(F.median("f0").alias("f0"), F.count("*").alias("frames"))
+    return f.select(F.col("clip_id").cast("int").alias("n_nationkey"), music.half_up(12 * F.log2(F.col("f0") / 110)).cast("int").alias("semitone"), "frames")
+
+
+@query()
+def repair_octaves(spark, sf_dir):
+    return kernels.repair_octaves(fr.contour(frames(spark, sf_dir), TONIC)).withColumn("repaired", F.round("repaired", 6))
+
+
+@query()
+def viterbi_decode(spark, sf_dir):
+    return kernels.viterbi_decode(fr.contour(frames(spark, sf_dir), TONIC), PLACES, LABELS)
+
+
+@query()
+def align_sequences(spark, sf_dir):
+    f = frames(spark, sf_dir).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda s: s["event_type"]).alias("a"))
+    return kernels.align_sequences(f.select(F.col("clip_id").alias("id"), "a").join(f.select((F.col("clip_id") - 1).alias("id"), F.col("a").alias("b")), "id"))
+
+
+@query()
+def octave_resolver(spark, sf_dir):
+    s = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_quantity") % 12).cast("int").alias("p"), F.when(F.col("l_partkey") % 5 == 0, (F.col("l_partkey") % 3 - 1).cast("int")).alias("pin"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(s.alias("s"))
+    return kernels.octave_resolver(rows.select("id", F.transform("s", lambda x: x["p"]).alias("places"), F.transform("s", lambda x: x["pin"]).alias("pins")))
+
+
+@query()
+def coordinate_descent(spark, sf_dir):
+    """The voicing thresholds tuned on even frames by overall accuracy, and how the held-out half does."""
+    f = frames(spark, sf_dir).join(scored_pairs(spark, sf_dir).select("clip_id", "i", "gt"), ["clip_id", "i"])
+    return tune.coordinate_descent(f, {"min_conf": [0.1, 0.3, 0.5, 0.7], "silence": [0.0, 0.045, 0.1, 0.3]}, {"min_conf": 0.5, "silence": 0.045})
+
+
+@query("""with e as (select *, max(ts) over () - interval 10 minute as mark from events), w as (select *, unnest(range(0, 4)) as k from e), s as (select time_bucket(interval 15 minute, ts) - k * interval 15 minute as start, event_type, value, mark from w)
+  select start, event_type, count(*) as n, round(avg(value), 6) as mean from s where start + interval 1 hour <= date_trunc('millisecond', mark) group by all""")
+def stream_hop(spark, sf_dir):
+    return practice.stream_hop(spark, sf_dir)
+
+
+@query("""with e as (select *, max(ts) over () - interval 10 minute as mark, coalesce((ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minute)::int, 1) as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts) as sess from e),
+  g as (select min(ts) as start, max(ts) + interval 30 minute as "end", user_id, count(*) as n, any_value(mark) as mark from s group by user_id, sess) select start, "end", user_id, n from g where "end" <= date_trunc('millisecond', mark)""")
+def stream_sessions(spark, sf_dir):
+    return practice.stream_sessions(spark, sf_dir)
+
+
+@query("""with t as (select p_partkey, string_split(p_name, ' ')[1] as w from part) select p_partkey, upper(left(w, 1)) || repeat('''', (p_partkey % 3)::int) as token, (p_partkey % 3)::int as octave from t""")
+def svara_tokens(spark, sf_dir):
+    """Tokens written and read back."""
+    made = F.concat(F.upper(F.substr(F.get(F.split("p_name", " "), F.lit(0)), F.lit(1), F.lit(1))), F.repeat(F.lit("'"), (F.col("p_partkey") % 3).cast("int")))
+    d = table(spark, sf_dir, "part").select("p_partkey", made.alias("token"))
+    return d.withColumn("octave", lib.token_octave(F.col("token")))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), t as (select doc_id, line, list_filter(string_split(line, ' '), lambda x: x <> '') as w from l)
+  select doc_id, count(*) as lines, count(*) filter (len(w) >= 8 and len(list_filter(w, lambda x: length(x) <= 3))::double / len(w) >= 0.5) as short_lines from t group by 1""")
+def token_lines(spark, sf_dir):
+    """Lines of eight tokens or more of which half are short: the test for notation lines, with words for svaras."""
+    line = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return line.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(lib.token_line(F.col("line"), r"^.{1,3}$", 8, 0.5)).alias("short_lines"))
+
+
+@query("""select l_orderkey, (case when bool_or(l_quantity % 4 = 0) then 4 when bool_or(l_quantity % 2 = 0) then 2 else 1 end * case when bool_or(l_quantity % 3 = 0) then 3 else 1 end)::int as grid from lineitem group by 1""")
+def grid_factor(spark, sf_dir):
+    """The least common multiple of the denominators of an order's durations."""
+    q = F.col("l_quantity")
+    den = F.when(q % 4 == 0, 4).when(q % 2 == 0, 2).otherwise(1)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lib.lcm_of(F.flatten(F.collect_list(F.array(den, F.when(q % 3 == 0, 3).otherwise(1))))).alias("grid"))
+
+
+@query("""with new as (select p_partkey, p_name, p_brand from part where p_partkey % 2 = 0), old as (select min(p_partkey) as id, left(lower(p_name), 6) as k, p_brand from part where p_partkey % 2 = 1 group by 2, 3),
+  linked as (select new.p_partkey, old.id from new left join old on left(lower(p_name), 6) = k and new.p_brand = old.p_brand), fresh as (select left(lower(n.p_name), 6) as k, n.p_brand, min(n.p_partkey) + 1000000 as id from new n join linked l using (p_partkey) where l.id is null group by 1, 2)
+  select n.p_partkey, coalesce(l.id, f.id) as kriti_id, l.id is null as inserted from new n join linked l using (p_partkey) left join fresh f on f.k = left(lower(n.p_name), 6) and f.p_brand = n.p_brand""")
+def staged_load(spark, sf_dir):
+    """New pieces linked to old ones by title prefix and brand; the rest inserted, then linked."""
+    p = table(spark, sf_dir, "part").withColumn("k", F.substr(F.lower("p_name"), F.lit(1), F.lit(6)))
+    return lib.staged_load(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_partkey", ["k", "p_brand"])
+
+
+@query("""with n as (select conv_id, turn, length(text) as n_chars, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) as words from conversations) select conv_id, count(*) as turns, bool_and(words >= 1) as ok from n group by 1""")
+def syllable_check(spark, sf_dir):
+    """Whether every section of a piece has something in it."""
+    words = F.size(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.bool_and(words >= 1).alias("ok"))
+
+
+@query(f"""with {NOTES}, r as (select *, row_number() over (partition by clip_id order by idx) - 1 as rn from notes), c as (select clip_id, rn // 8 as row_no, string_agg(label || case when oct > 0 then repeat('''', oct) when oct < 0 then repeat('.', -oct) else '' end, ' ' order by rn) as line from r group by all)
+  select clip_id, row_no, line from c""")
+def notation_text(spark, sf_dir):
+    """Eight notes a line, octaves marked."""
+    return lib.notation_lines(decoded(spark, sf_dir), 8)
+
+
+@query("""with p as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) as links, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) select page_id, title, len(links)::int as links from p""")
+def page_scan(spark, sf_dir):
+    """Title and list links of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), F.lit(1))).alias("links"))
