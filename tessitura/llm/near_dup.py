@@ -94,19 +94,40 @@ def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def band_hashes(texts: list[str], words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> list[np.ndarray]:
-    """The band hashes of each text; none for a text without words."""
-    out: list[np.ndarray] = []
+def sign(texts: list[str], words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[list[np.ndarray], list[bytes]]:
+    """The band hashes of each text (none for a text without words), and its sketch: 16 bits of each place of the signature."""
+    keys: list[np.ndarray] = []
+    sketches: list[bytes] = []
     for a, b in _groups(texts):
         h, of = _sets(texts[a:b], words)
-        sig = dart_signatures(h, of, b - a, rows * bands).reshape(b - a, bands, rows)
+        sig = dart_signatures(h, of, b - a, rows * bands)
+        sketches += [x.tobytes() for x in (sig >> np.uint64(48)).astype(">u2")]
+        sig = sig.reshape(b - a, bands, rows)
         with np.errstate(over="ignore"):
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(ODD), (b - a, bands)).copy()
             for r in range(rows):
                 key = mix(key + sig[:, :, r])
         full = np.bincount(of, minlength=b - a) > 0
-        out += [row if on else row[:0] for row, on in zip(key.astype(np.int64), full)]
-    return out
+        keys += [row if on else row[:0] for row, on in zip(key.astype(np.int64), full)]
+    return keys, sketches
+
+
+def _neighbours(places: int, least: float, reach: int = 3):
+    """Pairs of rows of one bucket that stand next to each other, up to ``reach`` apart, and whose sketches agree at a share of ``least`` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for batch in batches:
+            rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+            h, rep = rows["h"].to_numpy(), rows["rep"].to_numpy()
+            sketch = np.frombuffer(b"".join(rows["order"]), ">u2").reshape(-1, places)
+            for d in range(1, reach + 1):
+                i = np.flatnonzero((h[d:] == h[:-d]) & (rep[d:] != rep[:-d])) if len(h) > d else np.zeros(0, np.int64)
+                i = i[(sketch[i] == sketch[i + d]).mean(1) >= least] if len(i) else i
+                yield pd.DataFrame({"a": np.maximum(rep[i], rep[i + d]), "b": np.minimum(rep[i], rep[i + d])})
+            tail = rows.iloc[-reach:]
+
+    return run
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -155,9 +176,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     """One row for each input row: id, class_id (smallest id of its class) and copy_of (smallest id with the same text).
 
     Texts are of one class if a chain of links joins them; a link is a Jaccard similarity of ``similarity`` or more of the sets of runs of
-    ``words`` lower-cased words. Equal texts fall together first. Of the texts in a bucket (equal band hash) each is compared with the most
-    central one, whose buckets are largest in sum; those that are not similar to it stay in the bucket and are compared with the most central
-    of them, and so on until no bucket has two. So a bucket of m texts that are alike needs m - 1 comparisons, and none is cut off.
+    ``words`` lower-cased words. Equal texts fall together first.
+
+    Of the texts in a bucket (equal band hash) each is compared with the most central one, whose buckets are largest in sum: all edits of one text meet it
+    there. Besides, each is compared with its nearest three in the order of the rest of the signature, begun after the band; texts that are alike stand
+    together in that order even where a bucket holds many that are not, and have about eight buckets to meet in. The order goes over range partitions, so
+    a bucket may spread over many tasks. So the comparisons grow with the rows of the buckets, not with their squares, and no bucket is cut off.
 
     Shingles are compared by 32 bits of their hashes: with n of them, about n / 2**32 of the similarity may be wrong.
 
@@ -166,13 +190,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).select("id", *two_hashes(F.col("text"), "t"), "text")
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["id", "t1", "t2"]].assign(bands=band_hashes(batch["text"].tolist(), words, rows, bands))
+            keys, sketches = sign(batch["text"].tolist(), words, rows, bands)
+            yield batch[["id", "t1", "t2"]].assign(bands=keys, sketch=sketches)
 
-    signed = base.filter("id is not null").mapInPandas(sign, "id long, t1 long, t2 long, bands array<long>")
-    reps = checkpointed(signed.groupBy("t1", "t2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("rep")))
-    rows_of = reps.select("rep", F.explode("bands").alias("h"))
+    signed = base.filter("id is not null").mapInPandas(signed_rows, "id long, t1 long, t2 long, bands array<long>, sketch binary")
+    reps = checkpointed(signed.groupBy("t1", "t2").agg(F.min_by(F.struct("bands", "sketch"), "id").alias("s"), F.min("id").alias("rep")).select("t1", "t2", "rep", "s.bands", "s.sketch"))
+    rows_of = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = rows_of.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     open_rows = checkpointed(_joined(rows_of, shared, "h"))
     candidates = open_rows.select(F.col("rep").alias("id")).distinct()
@@ -188,26 +213,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     # A repeated row would double its links, so one row of each id stays; they share their place after the join.
     sets = checkpointed(base.filter("id is not null").select("id", "text").join(candidates.hint("merge"), "id", "left_semi").mapInPandas(collect, "id long, set binary").dropDuplicates(["id"]))
-    links = None
-    while True:
-        weight = open_rows.groupBy("rep").agg(F.sum("n").alias("w"))
-        centre = _joined(open_rows.select("h", "rep"), weight, "rep").groupBy("h").agg(F.max(F.struct("w", F.negative("rep").alias("r"))).alias("c")).select("h", F.negative(F.col("c.r")).alias("c"))
-        starred = checkpointed(_joined(open_rows.select("h", "rep"), centre, "h").filter("rep <> c"))
-        if starred.isEmpty():
-            break
-        pairs = starred.select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
-        one = _joined(pairs.withColumnRenamed("a", "id"), sets.withColumnRenamed("set", "x"), "id").withColumnRenamed("id", "a")
-        two = _joined(one.withColumnRenamed("b", "id"), sets.withColumnRenamed("set", "y"), "id").withColumnRenamed("id", "b")
-        judged = checkpointed(two.select("a", "b", "x", "y").mapInPandas(_similar(words, similarity), "a long, b long, ok boolean"))
-        found = judged.filter("ok").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        # What is not like its centre stays in the bucket.
-        left = starred.join(judged.filter("not ok").select(F.col("a").alias("rep"), F.col("b").alias("c")).hint("merge"), ["rep", "c"], "left_semi").select("h", "rep")
-        again = left.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-        open_rows = checkpointed(_joined(left, again, "h"))
-        if open_rows.isEmpty():
-            break
-    known = components(links) if links is not None else spark.createDataFrame([], "node long, class long")
+    weight = open_rows.groupBy("rep").agg(F.sum("n").alias("w"))
+    centre = _joined(open_rows.select("h", "rep"), weight, "rep").groupBy("h").agg(F.max(F.struct("w", F.negative("rep").alias("r"))).alias("c")).select("h", F.negative(F.col("c.r")).alias("c"))
+    star = _joined(open_rows.select("h", "rep"), centre, "h").filter("rep <> c").select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
+    turned = _joined(open_rows, reps.select("rep", "sketch"), "rep").select("h", "rep", F.expr(f"concat(substring(sketch, (band + 1) * {2 * rows} + 1), substring(sketch, 1, (band + 1) * {2 * rows}))").alias("order"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The sketch's estimate lies five deviations below the similarity at the least.
+    least = similarity - 5 * (similarity * (1 - similarity) / (rows * bands)) ** 0.5
+    near = turned.repartitionByRange(parts, "h", "order", "rep").sortWithinPartitions("h", "order", "rep").mapInPandas(_neighbours(rows * bands, least), "a long, b long")
+    pairs = star.unionByName(near).distinct()
+    one = _joined(pairs.withColumnRenamed("a", "id"), sets.withColumnRenamed("set", "x"), "id").withColumnRenamed("id", "a")
+    two = _joined(one.withColumnRenamed("b", "id"), sets.withColumnRenamed("set", "y"), "id").withColumnRenamed("id", "b")
+    known = components(two.select("a", "b", "x", "y").mapInPandas(_similar(words, similarity), "a long, b long, ok boolean").filter("ok").select("a", "b"))
     classes = reps.select("t1", "t2", "rep").join(known.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2"), "rep", F.coalesce("class", "rep").alias("class"))
     return base.select("id", F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2")).join(classes.hint("merge"), ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("rep").alias("copy_of"))
 
