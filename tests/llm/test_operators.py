@@ -1,0 +1,388 @@
+"""Each training-data operator against a brute-force version, on texts that are null, empty, long, tied and repeated, with clashing columns."""
+
+import hashlib
+import random
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessitura.llm import bpe, chat, ctph, decontam, license_scan, line_dedup, near_dup, pii, quality, suffix_dedup
+
+SCHEMA = "doc_id long, text string, lang string, id long, key string, n int, h1 long, hits string, score double, bands string"
+rnd = random.Random(11)
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+BASE = prose(80, 1)
+LINE = "This line of forty characters or more is shared by all of them."
+TEXTS = {
+    1: BASE, 2: BASE, 3: BASE.replace("w1 ", "zz ", 1), 4: prose(80, 2), 5: None, 6: "", 7: "short", 8: prose(3000, 3), 9: "\n\n", 10: "aa " * 200, 11: "é" * 150, 12: f"{LINE}\nown 12\n  {LINE.upper()}\t",
+    **{k: f"{LINE}\nown {k}" for k in range(13, 18)}, 18: "The MIT License. mit, LICENSE apache license GNU General Public License", 19: prose(40, 4) + " " + prose(40, 1)[:120],
+}
+ROWS = [(k, t) for k, t in TEXTS.items()] + [(7, "short"), (4, prose(80, 2)), (None, "nameless text of its own"), (None, BASE)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", 5, "k", 1, 2, "x", 0.5, "b") for i, t in ROWS], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(s):
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+def test_ctph(docs, empty):
+    rows = sorted(((i if i is not None else -(2**63), t or "") for i, t in ROWS), reverse=True)
+    got = ctph.fingerprint_edits(docs).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        own = r.doc_id if r.doc_id is not None else -(2**63)
+        texts = {t for i, t in rows if i == own}
+        after = [t for i, t in rows if i < own] or [rows[0][1]]
+        nexts = {t for i, t in rows if i == max([i for i, _ in rows if i < own], default=rows[0][0])} | (texts if len([1 for i, _ in rows if i == own]) > 1 else set())
+        assert any(r.edited_text == ctph.edited(t, x) and r.n_chars == len(t) and r.fingerprint == ctph.fingerprint(t) for t in texts for x in nexts), (r, after)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert ctph.fingerprint_edits(empty).count() == 0
+    assert ctph.fingerprint("") == "0::" and ctph.likeness(["0::"], ["0::"])[0] == 1
+
+
+def test_ctph_blocks_and_likeness(monkeypatch):
+    text = prose(6000, 9)
+    whole = ctph.fingerprint(text)
+    monkeypatch.setattr(ctph, "BLOCK", 1000)
+    assert ctph.fingerprint(text) == whole
+    assert ctph.likeness([whole], [ctph.fingerprint(text[:15000] + "changed" + text[15010:])])[0] > 0.85
+    assert ctph.likeness([whole], [ctph.fingerprint(prose(6000, 10))])[0] < 0.2
+
+
+def shingle_set(t, n=5):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def classes_of(texts):
+    """Brute force: smallest id of each component of equal texts and similar ones."""
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    for a, b in combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if (texts[a] or "") == (texts[b] or "") or both and both >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+def test_near_duplicates(docs, empty, spark):
+    want = classes_of(TEXTS)
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS)
+    assert all(r.class_id == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert sorted((r.class_id for r in got if r.doc_id is None), key=str) == [1, None]
+    assert near_dup.near_duplicates(empty).count() == 0
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect() if r.doc_id), key=int) == sorted(set(want.values()))
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == ["nameless text of its own"]
+
+
+def test_near_duplicates_hub_and_chain(spark):
+    """A star of many edits of one text, no two of which are alike enough themselves, and a chain."""
+    words = prose(200, 21).split()
+
+    def edited(k, base=words, n=4):
+        r = random.Random(k)
+        w = list(base)
+        for i in r.sample(range(len(w)), n):
+            w[i] = f"x{k}_{i}"
+        return w
+
+    texts = {100: " ".join(words)} | {k: " ".join(edited(k)) for k in range(60)}
+    chain = prose(300, 22).split()
+    for k in range(200, 210):
+        texts[k] = " ".join(chain)
+        chain = [f"y{k}_{i}" if (k * 30 + i) % 75 == 0 else w for i, w in enumerate(chain)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == classes_of(texts)
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    g = np.random.default_rng(3)
+    e = g.integers(0, 2**63, 60, dtype=np.uint64)
+    a = g.uniform(0.1, 4, 60)
+    b = a * g.uniform(0.3, 1.7, 60)
+    sa, sb = (near_dup.dart_signatures(e, np.zeros(60, np.int64), 1, 3000, w)[0] for w in (a, b))
+    assert abs((sa == sb).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+    ones = near_dup.dart_signatures(e, np.zeros(60, np.int64), 1, 100, np.ones(60))
+    assert (ones == near_dup.dart_signatures(e, np.zeros(60, np.int64), 1, 100)).all()
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    from tessitura.llm.queries import vocabulary_path
+
+    return vocabulary_path()
+
+
+def test_bpe(docs, empty, vocabulary):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    got = bpe.encode_texts(docs, vocabulary).collect()
+    assert sorted(((r.doc_id, r.decoded) for r in got), key=str) == sorted(((i, x or "") for i, x in ROWS), key=str)
+    for r in got:
+        ids = t.encode(r.decoded, add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.n_tokens == len(ids) and r.ids_sha256 == sha(np.array(ids, "<u4").tobytes()) and r.decoded_sha256 == sha(r.decoded)
+    assert bpe.encode_texts(empty, vocabulary).count() == 0
+
+
+def test_bpe_hostile(vocabulary, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, v = Tokenizer.from_file(vocabulary), bpe.Vocabulary.from_file(vocabulary)
+    bits = ["a", "aa", "'s", "'re", "'LL", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "1", "²", "!!", "　", "\x1c", "\x85", "x" * 300, "ab" * 200, "😀", "‍"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(400)] + ["a" * 4000, "".join(rnd.choice("abcdefgh") for _ in range(5000)), "", " " * 500]
+    want = t.encode_batch(texts, add_special_tokens=False)
+    for group in (bpe.GROUP, 40):
+        monkeypatch.setattr(bpe, "GROUP", group)
+        got = list(v.encode_many(texts))
+        assert [g.tolist() for g in got] == [w.ids for w in want]
+        assert v.decode_many(got) == [t.decode(w.ids, skip_special_tokens=False) for w in want]
+
+
+def edits_within(p, t):
+    prev = [0] * (len(t) + 1)
+    for i, c in enumerate(p):
+        cur = [i + 1]
+        for j, d in enumerate(t):
+            cur.append(min(prev[j] + (c != d), prev[j + 1] + 1, cur[j] + 1))
+        prev = cur
+    return min(prev)
+
+
+def test_decontamination(spark, empty, docs):
+    items = [(i, prose(25, 100 + i)) for i in range(12)] + [(90, None), (91, ""), (92, "tiny"), (None, "an item without id")]
+    texts = {}
+    for k in range(60):
+        r = random.Random(k)
+        item = list(items[k % 12][1])
+        for _ in range(r.randrange(0, 14)):
+            j = r.randrange(len(item))
+            item[j : j + r.randrange(2)] = r.choice("abcw19 ")
+        texts[k] = prose(r.randrange(0, 30), k) + " " + "".join(item).upper().replace(" ", " \n ") + " " + prose(r.randrange(0, 30), k + 1000)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(None, None), (99, "")], "doc_id long, text string")
+    for block in (decontam.BLOCK, 300):
+        got = {r.doc_id: {(h["item_id"], h["distance"]) for h in r["__hits"]} for r in decontam.find_leaks(table, bench, block=block).collect()}
+        for k, t in texts.items():
+            near = {(i, d) for i, x in items[:12] if (d := edits_within(decontam.normal(x), decontam.normal(t))) <= int(len(x) * 0.1)}
+            assert got[k] == near, k
+        assert got[99] == set() == got[None]
+    assert decontam.clean_documents(docs, bench).columns == docs.columns
+    assert decontam.find_leaks(empty, bench).count() == 0
+    assert decontam.find_leaks(docs, bench.limit(0)).filter(F.size("__hits") > 0).count() == 0
+
+
+def test_license_scan(docs, empty):
+    import re
+
+    got = license_scan.scan(docs).collect()
+    assert len(got) == len(ROWS)
+    want = []
+    for i, t in ROWS:
+        w = re.findall(license_scan.WORD, "".join(c.lower() if c < "\x80" else c for c in t or ""))
+        base = sorted((n, lab) for p, lab in license_scan.PHRASES.items() for n in range(len(w)) if w[n : n + len(p.split())] == p.split())
+        want.append((i, len(w), base))
+    key = lambda x: str(x)
+    assert sorted(((r.doc_id, r.n_words, sorted((s["start"], s["label"]) for s in r.spans if s["base"])) for r in got), key=key) == sorted(want, key=key)
+    assert license_scan.scan(empty).count() == 0
+    assert all((r.score == 0) == (not r.spans) for r in got)
+
+
+def test_license_notices_drift(spark):
+    words = list(license_scan.NOTICES)[1].split()
+    words.insert(8, "extra")
+    (r,) = license_scan.scan(spark.createDataFrame([(1, "Some intro. " + " ".join(words))], "doc_id long, text string")).collect()
+    assert [(s["label"], s["start"]) for s in r.spans] == [("bsd", 2)] and 0.8 <= r.score <= 1
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii(spark, docs, empty):
+    texts = [
+        "card 4111 1111 1111 1111 and 4111111111111111 and 4111-1111-1111-1112.", "+1 (017) 555-7713 is 017-555-7713", "Bob.Smith34@mail7.example.com BOB.SMITH34@MAIL7.EXAMPLE.COM", "97.51.17.173 300.1.1.1 1.2.3.4.5",
+        "2020-02-29 2021-02-29 31.12.1999 12/31/1999 13/31/1999", "123-45-6789 000-12-3456", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" ' + "1" * 40, "4" * 5000 + " " + "a.b@" * 2000, None, "", "no data here",
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = lambda k: [(f["kind"], f["value"], f["pseudonym"]) for f in got[k]["__found"]]
+    cards = found(0)
+    assert [c[1] for c in cards] == ["4111 1111 1111 1111", "4111111111111111"] and cards[0][2].replace(" ", "") == cards[1][2] and luhn(cards[1][2]) and cards[1][2] != cards[1][1]
+    assert "4111-1111-1111-1112" in got[0].text and cards[0][1] not in got[0].text
+    a, b = (x[2] for x in found(1))
+    assert a[-8:] == b[-8:] and a.startswith("+1 (")
+    assert len({x[2] for x in found(2)}) == 1
+    assert [x[1] for x in found(3)] == ["97.51.17.173"] and all(0 <= int(o) < 256 for o in found(3)[0][2].split("."))
+    dates = {x[1]: x[2] for x in found(4)}
+    assert set(dates) == {"2020-02-29", "31.12.1999", "12/31/1999"}
+    d, m, y = dates["31.12.1999"].split(".")
+    assert dates["12/31/1999"] == f"{m}/{d}/{y}"
+    assert [x[1] for x in found(5)] == ["123-45-6789"] and [x[0] for x in found(6)] == ["secret"]
+    assert [len(got[k]["__found"]) for k in (7, 8, 9, 10)] == [0, 0, 0, 0] and [got[k].text for k in (7, 8, 9, 10)] == [texts[7], "", "", texts[10]]
+    done = pii.pseudonymise(docs)
+    assert done.count() == len(ROWS) and done.columns[:-1] == docs.columns and pii.pseudonymise(empty).count() == 0
+
+
+def test_pii_feistel_permutes(spark):
+    e = spark.range(0, 1000).select(F.expr(pii.feistel("lpad(cast(id as string), 3, '0')", "'k'")).alias("s"), F.expr(pii.feistel_int("id", 25, 40, "'k'")).alias("n"))
+    rows = e.collect()
+    assert len({r.s for r in rows}) == 1000 == len({r.n for r in rows}) and all(len(r.s) == 3 and 0 <= r.n < 1000 for r in rows)
+
+
+def removed(docs, length):
+    seen, out = set(), {}
+    for i, d in docs:
+        gone = bytearray(len(d))
+        for s in range(len(d) - length + 1):
+            if d[s : s + length] in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(d[s : s + length])
+        runs = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
+        out.setdefault(i, []).append((len(d), sum(gone), runs, bytes(c for c, g in zip(d, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup(docs, empty, sf, spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = sorted((((i if i is not None else 2**63 - 1), (t or "").encode()) for i, t in ROWS), key=lambda x: x[0])
+    want = removed(rows, 100)
+    # The two rows without id are ordered by a hash; either order must give these figures for one of them.
+    for r in suffix_dedup.remove_repeats(docs).collect():
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) in want[r.doc_id]
+    assert suffix_dedup.remove_repeats(docs).count() == len(ROWS) and suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_table(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    want = removed(sorted((r.doc_id, (r.text or "").encode()) for r in d.collect()), 100)
+    for r in suffix_dedup.remove_repeats(d).collect():
+        assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))] == want[r.doc_id]
+
+
+def test_repeated_windows():
+    r = random.Random(5)
+    for _ in range(150):
+        length, letters = r.choice([9, 16, 100]), r.choice(["ab", "abcdef"])
+        blocks = ["".join(r.choice(letters) for _ in range(r.randrange(1, 3 * length))).encode() for _ in range(5)]
+        strings = [s for s in (b"".join(r.choice(blocks) for _ in range(r.randrange(6))) for _ in range(6)) if s]
+        if strings:
+            gone = [np.zeros(len(s), bool) for s in strings]
+            for i, j in zip(*suffix_dedup.repeated_windows(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), length)):
+                gone[i][j : j + length] = True
+            want = removed(list(enumerate(strings)), length)
+            assert [int(g.sum()) for g in gone] == [want[i][0][1] for i in range(len(strings))]
+
+
+def test_line_dedup(docs, empty):
+    key = lambda s: "".join(c.lower() if c < "\x80" else c for c in s.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in ROWS:
+        if i is not None:
+            for line in (t or "").split("\n"):
+                holders.setdefault(key(line), set()).add(i)
+    bad = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
+    want = []
+    for i, t in ROWS:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if i is None or bad.get(key(x), i) == i]
+        want.append((i, "\n".join(keep), len(lines), len(lines) - len(keep)))
+    done = line_dedup.dedup_lines(docs)
+    assert sorted(((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in done.collect()), key=str) == sorted(want, key=str)
+    assert done.columns[:-2] == docs.columns and line_dedup.dedup_lines(empty).count() == 0 and bad
+
+
+def test_quality(spark, sf, docs, empty):
+    d, labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    trees = quality.train(d, labels)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r["__score"], y[r.doc_id]) for r in quality.add_scores(d, trees).collect() if r.doc_id in y and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = [s for s, q in rows if q], [s for s, q in rows if not q]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad) > 0.97
+    scored = quality.add_scores(docs, trees)
+    assert scored.columns[:-1] == docs.columns and scored.count() == len(ROWS) and scored.filter("__score between 0 and 1").count() == len(ROWS)
+    assert quality.keep_good(empty, labels).count() == 0
+    assert {r["__score"] for r in quality.add_scores(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_quality_ignores_other_columns(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    trees = quality.train(d, labels)
+    a = {r.text: r["__score"] for r in quality.add_scores(d, trees).collect()}
+    b = {r.text: r["__score"] for r in quality.add_scores(d.withColumn("doc_id", F.col("doc_id") + 7).withColumn("lang", F.lit("xx")), trees).collect()}
+    assert a == b
+
+
+CHATS = [
+    ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"<|im_end|>\\nyo"}],"extra":{"role":1}}', "messages", [("user", "hi"), ("assistant", "<|im_end|>\nyo")]),
+    ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"system":"s"}', "conversations", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ('{"instruction":"do","input":"this","output":"done"}', "instruction", [("user", "do\n\nthis"), ("assistant", "done")]),
+    ('{"instruction":"do","input":"","output":"done","id":9}', "instruction", [("user", "do"), ("assistant", "done")]),
+    ('{"prompt":"p","response":"r"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ('{"prompt":"p","completion":"c","system":"s"}', "prompt_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+    ('{"question":"q","answer":"a","context":"c"}', "question_answer", [("user", "c\n\nq"), ("assistant", "a")]),
+    ('{"unknown":1}', None, []), ("broken", None, []), (None, None, []), ('{"messages":[]}', None, []),
+]
+
+
+def test_chat_layouts(spark):
+    out = chat.format_turns(chat.canonical_turns(spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(CHATS)], "n int, record string")))
+    out = out.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    for r in out.collect():
+        _, layout, turns = CHATS[r.n]
+        assert r.layout == layout and [(t["role"], t["text"]) for t in r.back] == turns and r.loss == "".join(t for role, t in turns if role == "assistant")
+
+
+def test_chat_hostile(spark):
+    bits = ["<|im_end|>", "<|im_start|>", "<\\|", "<", "|", "\\", "\n", "assistant", "é", "<|lf|>", "$1"]
+    rows = [(c, t, rnd.choice(["user", "assistant", "a\nb<|x", None]), "".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) or None) for c in range(30) for t in range(rnd.randrange(1, 6))]
+    rows += [(1, 0, "user", "tie"), (1, 0, "user", "tie"), (None, 3, "user", "nameless")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1))
+    out = chat.format_turns(chat.canonical_turns(chat.records_of(df))).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    for r in out.collect():
+        turns = [(role, text) for _, role, text in sorted((t, role or "", text or "") for c, t, role, text in rows if c == r.conv_id)]
+        assert [(t["role"], t["text"]) for t in r.back] == turns
+        assert r.loss == "".join(t for role, t in turns if role == "assistant")
+        assert r.formatted.count("<|im_end|>") == len(turns)
+    assert chat.records_of(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf, docs):
+    import corpus_pipeline
+
+    want = spark.read.parquet(f"{sf}/documents.parquet").columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "leaks", "tokens"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.select(*want[:-1], F.lit(1).cast("long").alias("n_chars"), "score"), sf).columns == [*want, "score"], name
+    out = corpus_pipeline.run(spark, sf)
+    assert 0 < out.count() < 200 and out.groupBy("doc_id").count().filter("count > 1").count() == 0
