@@ -121,7 +121,7 @@ def notes(df: DataFrame, positions: list[int], labels: list[str], min_dur: float
         "clip_id", "first_i", "n", (F.col("first_i") * hop_s).alias("start_s"), ((F.col("first_i") + F.col("n")) * hop_s).alias("end_s"), (F.col("n") * hop_s).alias("dur"), "label", "pos", "oct", "cents", "mean_cents", "sd",
         (F.col("tail") - F.col("head")).alias("slide"), (F.col("mean_cents") - F.col("cents")).alias("deviation"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sd") / 160)).alias("conf"),
     ).filter(F.col("dur") >= min_dur - 1e-9)
-    return out.withColumn("idx", F.row_number().over(Window.partitionBy("clip_id").orderBy("first_i")) - 1)
+    return out.withColumn("idx", (F.row_number().over(Window.partitionBy("clip_id").orderBy("first_i")) - 1).cast("long"))
 
 
 def articulation(n: DataFrame) -> DataFrame:

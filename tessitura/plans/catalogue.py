@@ -64,7 +64,7 @@ NOTES = NEAREST + f""", st as (select *, coalesce(case when voiced then sc end,
   kk as (select *, row_number() over (partition by clip_id, run order by i) as k, count(*) over (partition by clip_id, run) as m from rn where voiced),
   ag as (select clip_id, run, min(i) as first_i, count(*) as n, any_value(label) as label, any_value(pos) as pos, any_value(oct) as oct, any_value(sc) as cents, avg(cents) as mean_cents, stddev_pop(cents) as sd,
      median(cents) filter (k <= greatest(1, m // 4)) as head, median(cents) filter (k > m - greatest(1, m // 4)) as tail from kk group by clip_id, run),
-  notes as (select clip_id, row_number() over (partition by clip_id order by first_i) - 1 as idx, first_i, n, first_i * {music.HOP_S} as start_s, (first_i + n) * {music.HOP_S} as end_s, n * {music.HOP_S} as dur, label, pos, oct, cents, mean_cents, sd,
+  notes as (select clip_id, row_number() over (partition by clip_id order by first_i) - 1 as idx, first_i, n, first_i * {music.HOP_S}::double as start_s, (first_i + n) * {music.HOP_S}::double as end_s, n * {music.HOP_S}::double as dur, label, pos, oct, cents, mean_cents, sd,
      tail - head as slide, mean_cents - cents as deviation, greatest(0.0, least(1.0, 1 - sd / 160)) as conf from ag)"""
 
 
@@ -111,7 +111,7 @@ def histogram_smoothed(spark, sf_dir):
   select clip_id, shift, round(score, 4) as score from rk where r = 1""")
 def tonic_offset(spark, sf_dir):
     hist = fr.smooth_histogram(fr.histogram(fr.contour(frames(spark, sf_dir), TONIC)))
-    return fr.tonic_offset(hist, PLACES).select("clip_id", "shift", F.round("score", 4).alias("score"))
+    return fr.tonic_offset(hist, PLACES).select("clip_id", F.col("shift").cast("long").alias("shift"), F.round("score", 4).alias("score"))
 
 
 _SCALES = ", ".join(f"({m}, {p})" for m, ps, _ in music.melakarta_rows() for p in ps)
@@ -123,7 +123,7 @@ _SCALES = ", ".join(f"({m}, {p})" for m, ps, _ in music.melakarta_rows() for p i
   rk as (select *, row_number() over (partition by clip_id order by score desc, mela) as rank from sc) select clip_id, mela, round(score, 6) as score, rank from rk where rank <= 5""")
 def fold12_cosine_topk(spark, sf_dir):
     hist = fr.smooth_histogram(fr.histogram(fr.contour(frames(spark, sf_dir), TONIC)))
-    return fr.scale_matches(fr.fold12(hist), music.melakartas(spark)).select("clip_id", "mela", F.round("score", 6).alias("score"), "rank")
+    return fr.scale_matches(fr.fold12(hist), music.melakartas(spark)).select("clip_id", "mela", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {CONTOUR} select clip_id, i, case when voiced then round(median(case when voiced then cents end) over (partition by clip_id order by i rows between 1 preceding and 1 following), 6) end as smooth from contour")
@@ -225,7 +225,7 @@ def melody_scores(spark, sf_dir):
 @query(f"""with {PAIRS}, lg as (select g.clip_id, g.i, l.lag, e.est, g.gt from pairs g, (select unnest(range(-3, 4)) as lag) l, pairs e where e.clip_id = g.clip_id and e.i = g.i + l.lag),
   s as (select *, row_number() over (partition by clip_id order by raw_pitch desc, lag) as r from {_scores_sql('lg', 'clip_id, lag')}) select clip_id, lag, frames, round(raw_pitch, 6) as raw_pitch, round(overall, 6) as overall from s where r = 1""")
 def best_lag(spark, sf_dir):
-    return fr.best_lag(scored_pairs(spark, sf_dir)).select("clip_id", "lag", "frames", F.round("raw_pitch", 6).alias("raw_pitch"), F.round("overall", 6).alias("overall"))
+    return fr.best_lag(scored_pairs(spark, sf_dir)).select("clip_id", F.col("lag").cast("long").alias("lag"), "frames", F.round("raw_pitch", 6).alias("raw_pitch"), F.round("overall", 6).alias("overall"))
 
 
 _TOP = 55.0 * 2 ** (1900 / 1200)
@@ -459,7 +459,7 @@ def holdout_split(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From frames to the commonest notes of each clip: contour, voicing, nearest place, runs, count."""
     n = fr.articulation(decoded(spark, sf_dir))
-    rank = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("n_notes"), "label", "oct"))
+    rank = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("n_notes"), "label", "oct")).cast("long")
     counts = n.groupBy("clip_id", "label", "oct").agg(F.count("*").alias("n_notes"), F.round(F.sum("dur"), 6).alias("dur"))
     return counts.withColumn("rank", rank).filter("rank <= 5")
 
