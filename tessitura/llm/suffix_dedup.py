@@ -44,6 +44,28 @@ def _slide(v: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
     return op(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+with np.errstate(over="ignore"):
+    #: A number for each byte, by rule.
+    BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(ODD))
+
+
+def _contents(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of strings that stand end to end in ``data``, a megabyte or so at a time."""
+    ends = np.cumsum(size)
+    out, a = np.zeros(len(size), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while a < len(size):
+            first = int(ends[a] - size[a])
+            b = max(a + 1, int(np.searchsorted(ends, first + GROUP, "right")))
+            part = data[first : int(ends[b - 1])]
+            up, down = powers(len(part) + 1)
+            total = np.append(np.uint64(0), np.cumsum(BYTES[part] * up[: len(part)], dtype=np.uint64))
+            at = ends[a:b] - size[a:b] - first
+            out[a:b] = mix((total[at + size[a:b]] - total[at]) * down[at] + size[a:b].astype(np.uint64))
+            a = b
+    return out
+
+
 class Runs:
     """Runs of neighbouring windows with one minimizer in a group of pieces: piece, first window (within the piece), windows,
     minimizer, whether it stands twice in the run, content hash; ``data`` and ``begin``: the bytes and where pieces begin."""
@@ -56,7 +78,7 @@ class Runs:
         n = len(self.data)
         up, down = powers(n + 1)
         with np.errstate(over="ignore"):
-            total = np.append(np.uint64(0), np.cumsum(mix(self.data.astype(np.uint64) + np.uint64(ODD)) * up[:n], dtype=np.uint64))
+            total = np.append(np.uint64(0), np.cumsum(BYTES[self.data] * up[:n], dtype=np.uint64))
             grams = mix((total[k:] - total[:-k]) * down[: n - k + 1])
             least = _slide(grams, w, np.minimum, 2**64 - 1)
             piece = np.repeat(np.arange(len(pieces)), sizes)
@@ -65,7 +87,7 @@ class Runs:
             # A k-gram is a minimizer if it is the least of any window that holds it.
             held = np.where(inside, least, 0)
             most = _slide(np.concatenate([np.zeros(w - 1, np.uint64), held, np.zeros(w - 1, np.uint64)]), w, np.maximum, 0)
-            anchor = np.append(0, np.cumsum(grams == most[: len(grams)]))
+            anchor = np.flatnonzero(grams == most[: len(grams)])
             edge = np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (piece[1 : len(least)] != piece[: len(least) - 1]))
             first = np.flatnonzero(edge)
             count = np.diff(np.append(first, len(least)))
@@ -73,7 +95,12 @@ class Runs:
             first, count = first[keep], count[keep]
             self.piece, self.at, self.count, self.key = piece[first], first, count, least[first]
             self.size = count + length - 1
-            self.twice = anchor[np.minimum(first + count + w - 1, len(grams))] - anchor[first] > 1
+            # How many of the minimizers among a run's k-grams are its own.
+            low, high = np.searchsorted(anchor, first), np.searchsorted(anchor, first + count + w - 1)
+            n = high - low
+            run = np.repeat(np.arange(len(first)), n)
+            own = grams[anchor[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] == self.key[run]
+            self.twice = np.bincount(run, own, len(first)) > 1
             self.content = mix((total[first + self.size] - total[first]) * down[first] + self.size.astype(np.uint64))
             self.total, self.down = total, down
 
@@ -116,7 +143,7 @@ def suffix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     padded = np.concatenate([text.astype(np.uint8), np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    sa = np.argsort(key, kind="stable").astype(np.int32)
+    sa = np.argsort(key).astype(np.int32)
     sorted_key = key[sa]
     differs = np.append(True, sorted_key[1:] != sorted_key[:-1])
     # Common prefixes below 8 are read off the keys; deeper order comes by doubling, among ties only.
@@ -139,7 +166,7 @@ def suffix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         ahead = own.astype(np.int64) + depth
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
         both = (rank[own].astype(np.int64) << 32) | second
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         sa[at], both = own[order], both[order]
         new = np.append(True, both[1:] != both[:-1])
         differs[at] = new
@@ -212,7 +239,7 @@ def _pack(order: np.ndarray, runs: Runs, o: np.ndarray, x: np.ndarray, start: np
     """One zstd blob of runs: arrays of their fields, then their bytes."""
     size = runs.size[order]
     bytes_at = np.repeat(runs.at[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    fields = [o[order], x[order], start[order], runs.count[order], runs.key[order].view(np.int64), runs.content[order].view(np.int64), runs.twice[order].astype(np.int64)]
+    fields = [o[order], x[order], start[order], runs.count[order], runs.key[order].view(np.int64), runs.twice[order].astype(np.int64)]
     raw = _HEAD.pack(len(order), int(size.sum())) + np.stack(fields).astype("<i8").tobytes() + runs.data[bytes_at].tobytes()
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -220,7 +247,7 @@ def _pack(order: np.ndarray, runs: Runs, o: np.ndarray, x: np.ndarray, start: np
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, _ = _HEAD.unpack_from(raw)
-    return np.frombuffer(raw, "<i8", 7 * n, _HEAD.size).reshape(7, n), np.frombuffer(raw, np.uint8, offset=_HEAD.size + 56 * n)
+    return np.frombuffer(raw, "<i8", 6 * n, _HEAD.size).reshape(6, n), np.frombuffer(raw, np.uint8, offset=_HEAD.size + 48 * n)
 
 
 def _anchors(length: int, k: int):
@@ -309,8 +336,9 @@ def _judge(length: int, k: int):
         if not fields:
             return
         f, d = np.concatenate(fields, 1), np.concatenate(data)
-        o, x, start, count, h, content, twice = f
+        o, x, start, count, h, twice = f
         size = count + length - 1
+        content = _contents(d, size)
         at = np.cumsum(size) - size
         first = _first_of(h, content, o, x, start)
         out = [np.stack([o, x, start, count])[:, ~first]]
@@ -418,11 +446,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     copied = copies.select("id", "n", gone.alias("g"), "short", F.explode(F.sequence(F.lit(1), F.col("more"))).alias("i")).select("id", F.col("n").alias("n_bytes"), F.col("g").cast("long").alias("n_removed"), F.when(F.col("g") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.coalesce(F.col("short").cast("binary"), F.lit(b"")).alias("kept"))
 
     # The first texts, dealt out by id once; all further steps that read texts share that exchange.
-    firsts = first.select(F.col("fo").alias("ro"), F.col("x").alias("rx"), F.col("y").alias("ry")).groupBy("ro").agg(F.collect_list(F.struct("rx", "ry")).alias("firsts"))
-    texts = base.join(firsts.hint("merge"), F.col("o") == F.col("ro")).filter(F.exists("firsts", lambda r: (r["rx"] == F.col("x")) & (r["ry"] == F.col("y")))).select("id", "o", "x", "y", "text")
+    firsts = first.select(F.col("fo").alias("ro"), F.col("x").alias("rx"), F.col("y").alias("ry")).groupBy("ro").agg(F.array_sort(F.collect_list(F.struct("rx", "ry"))).alias("firsts"))
+    # x becomes the place of the text among those of its id, 0 but for repeated ids: a small number travels in less room than a hash.
+    place_of = F.array_position("firsts", F.struct(F.col("x").alias("rx"), F.col("y").alias("ry")))
+    texts = base.join(firsts.hint("merge"), F.col("o") == F.col("ro")).withColumn("place", place_of).filter("place > 0").select("id", "o", (F.col("place") - 1).alias("x"), F.lit(0).cast("long").alias("y"), "text")
     anchors = texts.mapInPandas(_anchors(length, GRAM), "h long, o long, n int")
     shared = anchors.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1").select(F.col("h").bitwiseXOR(F.lit(MASK)).alias("k"), (F.col("c") > HOT).alias("hot"))
-    doubtful = anchors.select("o", "h", F.col("h").bitwiseXOR(F.lit(MASK)).alias("k")).join(shared, "k").groupBy(F.col("o").alias("lo")).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    doubtful = anchors.select("o", F.col("h").bitwiseXOR(F.lit(MASK)).alias("k")).join(shared, "k").withColumn("h", F.col("k").bitwiseXOR(F.lit(MASK))).groupBy(F.col("o").alias("lo")).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     listed = texts.join(doubtful.hint("merge"), F.col("o") == F.col("lo")).select("id", "o", "x", "y", "text", "cold", "hot")
     spread = listed.mapInPandas(_spread(length, GRAM, buckets), f"bucket long, blob binary, {MARKS}")
     judged = spread.groupBy("bucket").applyInPandas(_judge(length, GRAM), MARKS)
