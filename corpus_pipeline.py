@@ -41,7 +41,7 @@ def leak_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text that they decode to."""
-    return bpe.encode_texts(docs, vocabulary_path()).drop("decoded")
+    return bpe.encode_texts(docs, vocabulary_path(), with_decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

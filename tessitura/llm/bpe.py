@@ -289,8 +289,12 @@ def _gather(flat: np.ndarray, off: np.ndarray, size: np.ndarray, of: np.ndarray)
     return flat[np.repeat(off[of] - begin, count) + np.arange(int(count.sum()))], begin
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row for each input row: id, n_tokens, ids_sha256, decoded_sha256 and, if ``with_ids``, ids (array<int>) and decoded.
+#: Characters after which a worker hands on what it has done.
+OUTPUT = 1 << 22
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+    """One row for each input row: id, n_tokens, ids_sha256, decoded_sha256 and, as asked for, ids (array<int>) and decoded.
 
     ``path``: a vocabulary file that the driver can read. Null and empty texts have no tokens; rows with null or repeated ids stay; an empty table
     gives an empty table; other columns are not read."""
@@ -299,12 +303,15 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
         for batch in batches:
-            rows = []
-            for ids in v.encode_many(batch["__text"].tolist()):
+            rows, size, begin = [], 0, 0
+            for k, ids in enumerate(v.encode_many(batch["__text"].tolist()), 1):
                 (decoded,) = v.decode_many([ids])
-                rows.append((len(ids), sha256(ids.astype("<u4").tobytes()).hexdigest(), sha256(decoded.encode()).hexdigest()) + ((ids.astype(np.int32), decoded) if with_ids else ()))
-            yield pd.concat([batch[["__id"]].rename(columns={"__id": id_col}).reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if with_ids else [])
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+                rows.append((len(ids), sha256(ids.astype("<u4").tobytes()).hexdigest(), sha256(decoded.encode()).hexdigest()) + (ids.astype(np.int32),) * with_ids + (decoded,) * with_decoded)
+                size += len(decoded)
+                if size >= OUTPUT or k == len(batch):
+                    yield pd.concat([batch["__id"].iloc[begin:k].rename(id_col).reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+                    rows, size, begin = [], 0, k
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_decoded
+    extra = ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).mapInPandas(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

@@ -29,7 +29,7 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text of every document."""
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False, with_decoded=False)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
