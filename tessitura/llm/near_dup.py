@@ -15,6 +15,8 @@ from tessitura.llm.words import KEY_BITS, ODD, hash_words, keyed, mix, shingles
 WORDS, SIMILARITY, ROWS, BANDS = 5, 0.8, 5, 24
 #: A key of its own for each join, so that both sides are dealt out for it and AQE can split what is skewed.
 MASK = 0x2545F4914F6CDD1D
+#: Rows of a bucket that are compared at once; a larger bucket goes in pairs of blocks of about so many.
+BLOCK = 4096
 
 
 def dart_signatures(elements: np.ndarray, of: np.ndarray, n: int, k: int, weights: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
@@ -130,6 +132,45 @@ def _neighbours(places: int, least: float, reach: int = 3):
     return run
 
 
+def _crossed(places: int, least: float):
+    """Every pair of rows of one pair of blocks (h, p, q) whose classes differ and whose sketches agree at a share of ``least`` or more.
+
+    Rows come sorted by their pair of blocks; those of the last one wait for the next batch. Where p <> q, only rows of different blocks meet."""
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        h, p, q, own, rep, known = (rows[c].to_numpy() for c in ("h", "p", "q", "own", "rep", "class"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), ">u2").reshape(-1, places)
+        edge = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        end = np.repeat(np.append(edge[1:], len(h)), np.diff(np.append(edge, len(h))))
+        i, d = np.arange(len(h)), 1
+        while True:
+            i = i[i + d < end[i]]
+            if not len(i):
+                return
+            j = i[(known[i] != known[i + d]) & ((p[i] == q[i]) | (own[i] != own[i + d]))]
+            j = j[(sketch[j] == sketch[j + d]).mean(1) >= least] if len(j) else j
+            if len(j):
+                yield pd.DataFrame({"a": np.maximum(rep[j], rep[j + d]), "b": np.minimum(rep[j], rep[j + d])})
+            d += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[["h", "p", "q"]].to_numpy()
+            cut = len(batch) - int(np.argmin(np.append((keys == keys[-1]).all(1)[::-1], False)))
+            if cut == 0 and (not held or (held[-1][["h", "p", "q"]].to_numpy()[-1] == keys[-1]).all()):
+                held.append(batch)
+                continue
+            yield from pairs(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+            held = [batch.iloc[cut:]]
+        if held:
+            yield from pairs(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """A join that deals out both sides anew by a masked key. Never by broadcast: over many rounds the driver would gather the tables of all."""
     masked = lambda df: df.withColumn("__key", F.col(key).bitwiseXOR(F.lit(MASK))).drop(key)
@@ -178,10 +219,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Texts are of one class if a chain of links joins them; a link is a Jaccard similarity of ``similarity`` or more of the sets of runs of
     ``words`` lower-cased words. Equal texts fall together first.
 
-    Of the texts in a bucket (equal band hash) each is compared with the most central one, whose buckets are largest in sum: all edits of one text meet it
-    there. Besides, each is compared with its nearest three in the order of the rest of the signature, begun after the band; texts that are alike stand
-    together in that order even where a bucket holds many that are not, and have about eight buckets to meet in. The order goes over range partitions, so
-    a bucket may spread over many tasks. So the comparisons grow with the rows of the buckets, not with their squares, and no bucket is cut off.
+    Every two texts of a bucket (equal band hash) are compared or already joined by a chain of links that were found. First each text is compared with the
+    most central one of the bucket, whose buckets are largest in sum, and with its nearest three in the order of the rest of the signature, begun after
+    the band: that joins nearly all that are alike, with comparisons that grow with the rows of the buckets. Then, in the buckets that still hold several
+    classes, all pairs of texts of different classes are compared by their sketches, and exactly where those don't lie far below the similarity. Buckets
+    of more than BLOCK rows are dealt out by pairs of blocks. So only rows of buckets with several classes cost squares, 240 bytes of sketches a time.
 
     Shingles are compared by 32 bits of their hashes: with n of them, about n / 2**32 of the similarity may be wrong.
 
@@ -218,13 +260,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     star = _joined(open_rows.select("h", "rep"), centre, "h").filter("rep <> c").select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
     turned = _joined(open_rows, reps.select("rep", "sketch"), "rep").select("h", "rep", F.expr(f"concat(substring(sketch, (band + 1) * {2 * rows} + 1), substring(sketch, 1, (band + 1) * {2 * rows}))").alias("order"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The sketch's estimate lies five deviations below the similarity at the least.
-    least = similarity - 5 * (similarity * (1 - similarity) / (rows * bands)) ** 0.5
+    # Of two texts at exactly the similarity the sketches' estimate lies lower than six deviations below it once in 10**8.
+    least = similarity - 6 * (similarity * (1 - similarity) / (rows * bands)) ** 0.5
     near = turned.repartitionByRange(parts, "h", "order", "rep").sortWithinPartitions("h", "order", "rep").mapInPandas(_neighbours(rows * bands, least), "a long, b long")
-    pairs = star.unionByName(near).distinct()
-    one = _joined(pairs.withColumnRenamed("a", "id"), sets.withColumnRenamed("set", "x"), "id").withColumnRenamed("id", "a")
-    two = _joined(one.withColumnRenamed("b", "id"), sets.withColumnRenamed("set", "y"), "id").withColumnRenamed("id", "b")
-    known = components(two.select("a", "b", "x", "y").mapInPandas(_similar(words, similarity), "a long, b long, ok boolean").filter("ok").select("a", "b"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        one = _joined(pairs.distinct().withColumnRenamed("a", "id"), sets.withColumnRenamed("set", "x"), "id").withColumnRenamed("id", "a")
+        two = _joined(one.withColumnRenamed("b", "id"), sets.withColumnRenamed("set", "y"), "id").withColumnRenamed("id", "b")
+        return two.select("a", "b", "x", "y").mapInPandas(_similar(words, similarity), "a long, b long, ok boolean").filter("ok").select("a", "b")
+
+    first = components(links(star.unionByName(near)))
+    # Buckets that still hold several classes: each pair of rows of different classes is compared.
+    placed = checkpointed(_joined(open_rows.select("h", "rep"), first.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("class", "rep").alias("class")))
+    mixed = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("h", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    own = _joined(placed, mixed, "h").withColumn("own", F.expr("pmod(xxhash64(rep, h), blocks)"))
+    met = _joined(own, reps.select("rep", "sketch"), "rep").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = met.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "class", "sketch")
+    crossed = met.repartition(parts, "h", "p", "q").sortWithinPartitions("h", "p", "q").mapInPandas(_crossed(rows * bands, least), "a long, b long")
+    second = _joined(links(crossed).withColumnRenamed("a", "node"), first, "node", "left").select(F.coalesce("class", "node").alias("a"), F.col("b").alias("node"))
+    second = _joined(second, first, "node", "left").select("a", F.coalesce("class", "node").alias("b"))
+    merged = components(second).select(F.col("node").alias("class"), F.col("class").alias("into"))
+    known = _joined(reps.select(F.col("rep").alias("node")), first, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+    known = _joined(known, merged, "class", "left").select("node", F.coalesce("into", "class").alias("class"))
     classes = reps.select("t1", "t2", "rep").join(known.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2"), "rep", F.coalesce("class", "rep").alias("class"))
     return base.select("id", F.col("t1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("t2").bitwiseXOR(F.lit(MASK)).alias("k2")).join(classes.hint("merge"), ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("rep").alias("copy_of"))
 

@@ -124,6 +124,34 @@ def test_near_duplicates_hub_and_chain(spark):
     assert got == classes_of(texts)
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_near_duplicates_unlike_texts_of_one_bucket(spark, block, monkeypatch):
+    """Hundreds of texts that share most of their words, so buckets hold many that are not alike; each is alike to one other text alone."""
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    common, texts = prose(156, 31), {}
+    for k in range(250):
+        own = prose(44, 1000 + k).split()
+        texts[k] = f"{common} {' '.join(own)}"
+        texts[1000 - k] = f"{common} {' '.join(f'x{k}_{i}' if i in (6, 16, 26, 36) else w for i, w in enumerate(own))}"
+    want = classes_of(texts)
+    assert len(set(want.values())) == 250
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_crossed_pairs_over_batches():
+    """Each pair of rows of a pair of blocks once, wherever the batches end; not those of one class, nor of one block where there are two."""
+    import pandas as pd
+
+    sketch = np.zeros(4, ">u2").tobytes()
+    rows = [(h, p, q, own, rep, rep // 2) for h in range(3) for p, q in ((0, 0), (0, 1), (1, 1)) for own in {p, q} for rep in range(own * 10, own * 10 + 5 + h)]
+    table = pd.DataFrame([(*r, sketch) for r in rows], columns=["h", "p", "q", "own", "rep", "class", "sketch"])
+    want = sorted((max(x[4], y[4]), min(x[4], y[4])) for x, y in combinations(rows, 2) if x[:3] == y[:3] and x[5] != y[5] and (x[1] == x[2] or x[3] != y[3]))
+    for size in (1, 2, 7, 50, 1000):
+        out = pd.concat(near_dup._crossed(4, 0.9)(table.iloc[i : i + size] for i in range(0, len(table), size)))
+        assert sorted(zip(out["a"], out["b"])) == want, size
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     g = np.random.default_rng(3)
     e = g.integers(0, 2**63, 60, dtype=np.uint64)
