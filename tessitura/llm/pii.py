@@ -19,8 +19,9 @@ from tessitura.llm.common import whole_text
 
 ROUNDS = 8
 #: Alternatives in order. Runs are entered only at their start and left whole (possessive), so the scan is linear.
+#: A dot belongs to a domain only before another label, so an address may end a sentence; its top-level domain is looked at afterwards.
 PATTERN = "|".join((
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}+(?![A-Za-z0-9-])",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,24})",
     r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9A-Za-z]|\.[0-9])",
     r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[/.-][0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",

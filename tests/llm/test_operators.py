@@ -280,6 +280,17 @@ def test_pii(spark, docs, empty):
     assert done.count() == len(ROWS) and done.columns[:-1] == docs.columns and pii.pseudonymise(empty).count() == 0
 
 
+def test_pii_addresses_before_full_stops(spark):
+    texts = ["Write to bob@example.com.", "bob@example.com. Then call", "bob@example.com... or not", "(bob@example.com.)", "bob@example.com.\nann@mail.example.org.", "bob@example.com, x", "bob@example.c.", "bob@example.", "a@" + "b.1." * 20000]
+    want = [["bob@example.com"]] * 4 + [["bob@example.com", "ann@mail.example.org"], ["bob@example.com"], [], [], []]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[f["value"] for f in r["__found"]] for r in rows] == want
+    for r, t in zip(rows, texts):
+        for f in r["__found"]:
+            t = t.replace(f["value"], f["pseudonym"])
+        assert r.text == t
+
+
 def test_pii_feistel_permutes(spark):
     e = spark.range(0, 1000).select(F.expr(pii.feistel("lpad(cast(id as string), 3, '0')", "'k'")).alias("s"), F.expr(pii.feistel_int("id", 25, 40, "'k'")).alias("n"))
     rows = e.collect()
