@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Stands for a line feed inside a role; no text or role has "<|" once escaped.
 ROLE_LF = "<|lf|>"
+#: A record of no more characters is within the limits of the JSON parser.
+MOST_CHARS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -70,8 +72,13 @@ def _prints(layout: Layout) -> list[Column]:
 
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """Adds ``layout`` and ``turns`` (array<struct<role,text>>). A null, broken or unknown record gets a null layout and no
-    turns; null roles and texts become empty; fields that no layout knows are ignored."""
-    seen = records.withColumn("__v", F.try_parse_json(record_col)).withColumn("__fp", F.coalesce(fingerprint(F.col("__v")), F.lit(0)))
+    turns; null roles and texts become empty; fields that no layout knows are ignored.
+
+    The parser takes texts of up to MOST_CHARS characters and records of up to 128 MiB. A longer record that doesn't parse may be whole, so it raises
+    an error. ``conversation_turns`` has no such limits."""
+    v = F.try_parse_json(record_col)
+    error = F.raise_error(F.concat(F.lit("A record doesn't parse and may be too large to: characters "), F.char_length(record_col).cast("string")))
+    seen = records.withColumn("__v", F.when(v.isNull() & (F.char_length(record_col) > MOST_CHARS), error.cast("variant")).otherwise(v)).withColumn("__fp", F.coalesce(fingerprint(F.col("__v")), F.lit(0)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in reversed(LAYOUTS):
         hit = F.col("__fp").isin(*_prints(x))
@@ -113,10 +120,25 @@ def masked_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["chars"].cast("int")))), "")
 
 
+def _messages_of(conversations: DataFrame) -> DataFrame:
+    """(conv_id, messages): array<struct<role,content>>, rows in order of turn, role, text; null roles and texts are empty."""
+    rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("__t"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("__t")).alias("__ts"))
+    return turns.select("conv_id", F.transform("__ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+
+
 def records_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): one JSON record in the messages layout per conversation; rows in order of turn, role, text.
 
     Rows without conv_id form a conversation of their own; repeated rows stay repeated turns."""
-    rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("__t"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("__t")).alias("__ts"))
-    return turns.select("conv_id", F.to_json(F.struct(F.transform("__ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("record"))
+    return _messages_of(conversations).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
+
+
+def conversation_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, layout, turns) as ``canonical_turns`` gives for ``records_of``, without JSON: the fingerprint is of the field paths of the typed
+    columns. So a text or a conversation may be as large as a value in Spark."""
+    rows = _messages_of(conversations)
+    paths = [f"$.messages[0].{f}" for f in rows.schema["messages"].dataType.elementType.names]
+    found = F.xxhash64(F.lit(",".join(sorted(paths))))
+    name = F.coalesce(*[F.when(found.isin(*_prints(x)), F.lit(x.name)) for x in LAYOUTS])
+    return rows.select("conv_id", name.alias("layout"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text"))).alias("turns"))

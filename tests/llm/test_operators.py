@@ -416,6 +416,22 @@ def test_chat_hostile(spark):
     assert chat.records_of(df.limit(0)).count() == 0
 
 
+def test_chat_beyond_the_parser(spark, tmp_path):
+    """A text over the JSON parser's limit comes back whole from the query; as a record it raises an error, and typed turns equal parsed ones."""
+    from tessitura.llm.queries import op10_chat_format
+
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None), (None, 3, None, "nameless"), (2, 0, "user", "tie"), (2, 0, "user", "tie")], "conv_id long, turn long, role string, text string")
+    big = spark.sql("select 7L as conv_id, 0L as turn, 'assistant' as role, repeat('a', 20000001) as text")
+    rows.unionByName(big).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in op10_chat_format(spark, str(tmp_path)).collect()}
+    assert (got[7].n_turns, got[7].loss_chars, got[7].layout) == (1, 20000001, "messages")
+    assert got[7].loss_sha256 == sha("a" * 20000001) and got[7].turns_sha256 == sha("assistant\n" + "a" * 20000001 + "\n") and set(got) == {-1, 1, 2, 7, None}
+    typed, parsed = chat.conversation_turns(rows), chat.canonical_turns(chat.records_of(rows)).drop("record")
+    assert sorted(map(str, typed.collect())) == sorted(map(str, parsed.select(typed.columns).collect()))
+    with pytest.raises(Exception, match="too large"):
+        chat.canonical_turns(chat.records_of(big)).select(F.size("turns")).collect()
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
