@@ -6,7 +6,6 @@ pairs by binary search over the sorted pair keys and merges, in every word, the
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import whole_text
+from tessitura.llm.words import slide, sum_hashes
 
 # The endings that byte-level BPE cuts off after an apostrophe.
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -26,10 +26,10 @@ BLANKS = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 OTHER, LETTER, NUMBER, BLANK = range(4)
 #: Code points that are handled at once; a longer text is cut before white space, where a word must begin.
 GROUP = 1 << 20
-ODD = 0x9E3779B97F4A7C15
 NO_RANK = np.int64(2**62)
-#: Words of more bytes than this are merged one by one with a heap, in n log n steps; so many words stay in a worker's memory.
-LONG, REMEMBERED = 256, 300_000
+#: Words of more bytes than this go through rounds of their own, in which all places merge that are least within reach; of two generations
+#: of words that a worker remembers each holds so many.
+LONG, REMEMBERED = 256, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -60,13 +60,15 @@ class Vocabulary:
     tokens: list[bytes]
     special: dict[str, int]
     classes: np.ndarray
-    known: dict[int, bytes] = field(default_factory=dict)
+    young: dict[str, bytes] = field(default_factory=dict)
+    old: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
-        """Reads a tokenizers JSON file whose model is BPE over ByteLevel without normalizer."""
+        """Reads a tokenizers JSON file whose model is BPE over ByteLevel without normalizer; one with anything else that changes ids is refused."""
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
+        _refuse_others(raw)
         ids = raw["model"]["vocab"]
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
@@ -80,11 +82,16 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in raw["model"]["merges"]]
         keys = np.array([ids[a] * 2**32 + ids[b] for a, b in pairs], np.int64)
         merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        # Places of one rank merge at once, which is right if no merge makes a pair of a lower rank.
+        made = np.full(size, -1, np.int64)
+        np.maximum.at(made, merged, np.arange(len(pairs)))
+        if len(pairs) and (np.maximum(made[keys >> 32], made[keys & 0xFFFFFFFF]) >= np.arange(len(pairs))).any():
+            raise ValueError("a merge comes before the merges that make its parts")
         order = np.argsort(keys)
         return cls(np.array([ids[c] for c in letters], np.int64), keys[order], order.astype(np.int64), merged[order], tokens, special, _classes())
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_flat"} | {"known": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "_flat"} | {"young": {}, "old": {}}
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * 2**32 + right
@@ -120,37 +127,26 @@ class Vocabulary:
         return out
 
     def _long(self, word: bytes) -> bytes:
-        """One long word: lowest rank first, ties from the left, by a heap over a linked list."""
+        """One long word, in rounds. A place merges if no rank within reach of it is lower: what could still change its two symbols would have to
+        grow from farther than the longest token. A run of neighbouring places of one rank, as in "aaaa", merges as a whole, every second place."""
         sym = self.byte_ids[np.frombuffer(word, np.uint8)]
-        n = len(sym)
         rank, at = self._find(sym[:-1], sym[1:])
-        heap = [(int(r), i, int(self.merged[k])) for i, (r, k) in enumerate(zip(rank, at)) if r != NO_RANK]
-        heapq.heapify(heap)
-        ids, after, before = sym.tolist(), [*range(1, n + 1)], [*range(-1, n - 1)]
-        now = {i: r for r, i, _ in heap}
-        keys, ranks, merged = self.keys, self.ranks, self.merged
-
-        def offer(i: int) -> None:
-            now.pop(i, None)
-            if i >= 0 and after[i] < n:
-                key = ids[i] * 2**32 + ids[after[i]]
-                k = int(np.searchsorted(keys, key))
-                if k < len(keys) and keys[k] == key:
-                    now[i] = int(ranks[k])
-                    heapq.heappush(heap, (now[i], i, int(merged[k])))
-
-        while heap:
-            r, i, new = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = new, -1, after[j]
-            now.pop(j, None)
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        reach = max(map(len, self.tokens))
+        rim = np.full(reach, NO_RANK)
+        while (rank < NO_RANK).any():
+            least = slide(np.concatenate([rim, rank, rim]), 2 * reach + 1, np.minimum, NO_RANK)
+            run = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+            size = np.diff(np.append(run, len(rank)))
+            ready = np.logical_and.reduceat((rank == least) & (rank < NO_RANK), run)
+            hit = np.flatnonzero(np.repeat(ready, size) & ((np.arange(len(rank)) - np.repeat(run, size)) % 2 == 0))
+            sym[hit] = self.merged[at[hit]]
+            sym, rank, at = np.delete(sym, hit + 1), np.delete(rank, hit), np.delete(at, hit)
+            # The pairs on both sides of each new symbol.
+            new = hit - np.arange(len(hit))
+            new = np.unique(np.concatenate([new - 1, new]))
+            new = new[(new >= 0) & (new < len(rank))]
+            rank[new], at[new] = self._find(sym[new], sym[new + 1])
+        return sym.astype("<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in words]
@@ -161,6 +157,19 @@ class Vocabulary:
             found.update(zip([words[i] for i in part], self._rounds([raw[i] for i in part])))
         return found
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words, learnt where they aren't remembered. When a generation is full, the words that it didn't need are forgotten."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        for w in words:
+            if w not in young and (x := old.get(w)) is not None:
+                young[w] = x
+        new = [w for w in dict.fromkeys(words) if w not in young]
+        if new:
+            young.update(self._learn(new))
+        return [young[w] for w in words]
+
     def _word_starts(self, cps: np.ndarray, segments: np.ndarray) -> np.ndarray:
         """True where a word begins. segments: where texts or parts of texts begin, at least one code point each."""
         n, kind = len(cps), self.classes[cps]
@@ -192,30 +201,16 @@ class Vocabulary:
         bounds = np.append(0, np.cumsum(sizes))
         starts = np.flatnonzero(self._word_starts(cps, bounds[:-1]))
         ends = np.append(starts[1:], len(cps))
-        with np.errstate(over="ignore"):
-            up = np.full(len(cps), ODD, np.uint64)
-            up[0] = 1
-            np.cumprod(up, out=up)
-            down = np.full(len(cps), pow(ODD, -1, 2**64), np.uint64)
-            down[0] = 1
-            np.cumprod(down, out=down)
-            x = cps.astype(np.uint64) + np.uint64(0x1234567)
-            x *= np.uint64(0xFF51AFD7ED558CCD)
-            x ^= x >> np.uint64(32)
-            x *= up
-            total = np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
-            keys = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
-        unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        names = unique.tolist()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [i for i, k in enumerate(names) if k not in known]
-        if new:
-            words = [whole[starts[first[i]] : ends[first[i]]] for i in new]
-            learnt = self._learn(words)
-            known.update((names[i], learnt[w]) for i, w in zip(new, words))
-        ids = [known[k] for k in names]
+        size = ends - starts
+        _, first, of = np.unique(sum_hashes(cps, size), return_index=True, return_inverse=True)
+        words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        # Equal hashes only propose: words that differ from the one that stands for their hash get numbers of their own.
+        twin = first[of]
+        other = np.minimum(np.repeat(starts[twin] - starts, size) + np.arange(len(cps)), len(cps) - 1)
+        for i in np.flatnonzero((size != size[twin]) | (np.add.reduceat((cps != cps[other]).view(np.int8), starts, dtype=np.int64) > 0)).tolist():
+            words.append(whole[starts[i] : ends[i]])
+            of[i] = len(words) - 1
+        ids = self._ids_of(words)
         flat = np.frombuffer(b"".join(ids), "<u4")
         count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         out, at = _gather(flat, np.cumsum(count) - count, count, of)
@@ -279,6 +274,18 @@ class Vocabulary:
         return self._flat
 
 
+def _refuse_others(raw: dict) -> None:
+    """Ends with an error where a file asks for steps that this encoder doesn't take."""
+    model, split = raw["model"], raw.get("pre_tokenizer") or {}
+    wrong = [
+        ("normalizer", raw.get("normalizer")), ("model type", model.get("type", "BPE") != "BPE"), *((k, model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        ("pre-tokenizer", split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)),
+        ("added tokens that strip blanks or ask for single words", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in raw.get("added_tokens", []))),
+    ]
+    if found := [name for name, on in wrong if on]:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(found)}")
+
+
 _EDGE = regex.compile("[^%s][%s]" % ((regex.escape("".join(map(chr, BLANKS))),) * 2))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,36 @@ def two_hashes(c: Column, name: str = "__h") -> list[Column]:
     return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit("second"), c).alias(f"{name}2")]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter.
+def text_ids(c: Column, name: str = "__h") -> list[Column]:
+    """128 bits as two longs by which equal texts are told: of a cryptographic digest, as nobody can make two texts meet there."""
+    return two_hashes(F.sha2(c, 256), name)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder of its own under the shared one that spark.checkpoint.dir names. Where that is unset, a temporary one if driver and executors are
+    one process, else an error: there is no other place that all executors see."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{what} needs spark.checkpoint.dir: a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
 
-    A folder of our own is set only where the session names none, as in tests."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 Windows of ``length`` bytes meet by the smallest k-gram hash that they hold (a minimizer), so equal windows land in one
 bucket however the texts around them differ. Only windows whose minimizer stands in two places or more travel. In a
-bucket, equal runs of windows are matched by hash; the rest form a text whose Burrows-Wheeler transform is extended
+bucket, equal runs of windows are found by their bytes; the rest form a text whose Burrows-Wheeler transform is extended
 backwards, breadth first, from all intervals at once: common prefixes come out in increasing length, and the extension
 stops at ``length``. Neighbours in the suffix order that no boundary has cut by then share ``length`` bytes.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from hashlib import sha256
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -19,56 +20,84 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import two_hashes, whole_text
-from tessitura.llm.words import ODD, mix, powers
+from tessitura.llm.common import text_ids, whole_text
+from tessitura.llm.words import ODD, mix, slide
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once; a longer text goes in pieces that overlap by length - 1.
 GROUP = 1 << 20
 #: Expected bytes of a bucket, and bytes of one transform; runs that share a minimizer always go together.
 BUCKET, TRANSFORM = 1 << 24, 1 << 22
-#: A minimizer in more runs than this is hot: its windows are matched one by one by their hashes, with map-side combining.
+#: A minimizer in more places than this is hot: its runs would fill a bucket, so its windows are matched one by one by their digests, with map-side combining.
 HOT = 20_000
 LAST = 2**63 - 1
 MASK = 0x2127599BF4325C37
 
 
-def _slide(v: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
-    """op over v[i : i + w] for each i that has w values."""
-    n = len(v) - w + 1
-    if n <= 0:
-        return v[:0]
-    padded = np.append(v, np.full(-len(v) % w, fill, v.dtype)).reshape(-1, w)
-    ahead = op.accumulate(padded, 1).ravel()
-    back = op.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return op(back[:n], ahead[w - 1 : w - 1 + n])
+#: A prime below 2**31 and a base of powers modulo it.
+PRIME, BASE = 2**31 - 1, 1_337_986_121
 
 
-with np.errstate(over="ignore"):
-    #: A number for each byte, by rule.
-    BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(ODD))
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo PRIME."""
+    out = []
+    for base in (BASE, pow(BASE, -1, PRIME)):
+        p = np.ones(1, np.uint64)
+        while len(p) < n:
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), PRIME)) % np.uint64(PRIME)])
+        out.append(p)
+    return out[0], out[1]
+
+
+class Sums:
+    """Hashes of the strings inside ``data``, from running sums. They only propose what may be equal; bytes decide."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(1 << max(21, len(data).bit_length()))
+        self.total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)] % np.uint64(PRIME), dtype=np.uint64))
+
+    def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.total[at + size] - self.total[at]) % np.uint64(PRIME) * self.down[at] % np.uint64(PRIME)
 
 
 def _contents(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of strings that stand end to end in ``data``, a megabyte or so at a time."""
     ends = np.cumsum(size)
     out, a = np.zeros(len(size), np.uint64), 0
-    with np.errstate(over="ignore"):
-        while a < len(size):
-            first = int(ends[a] - size[a])
-            b = max(a + 1, int(np.searchsorted(ends, first + GROUP, "right")))
-            part = data[first : int(ends[b - 1])]
-            up, down = powers(len(part) + 1)
-            total = np.append(np.uint64(0), np.cumsum(BYTES[part] * up[: len(part)], dtype=np.uint64))
-            at = ends[a:b] - size[a:b] - first
-            out[a:b] = mix((total[at + size[a:b]] - total[at]) * down[at] + size[a:b].astype(np.uint64))
-            a = b
+    while a < len(size):
+        first = int(ends[a] - size[a])
+        b = max(a + 1, int(np.searchsorted(ends, first + GROUP, "right")))
+        out[a:b] = Sums(data[first : int(ends[b - 1])]).of(ends[a:b] - size[a:b] - first, size[a:b])
+        a = b
+    return out
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are the same bytes; about GROUP bytes at a time."""
+    out, todo = np.ones(len(a), bool), np.flatnonzero(a != b)
+    cuts = np.searchsorted(np.cumsum(size[todo]), np.arange(GROUP, int(size[todo].sum()) + 1, GROUP))
+    for i in np.split(todo, cuts):
+        if len(i):
+            begin = np.cumsum(size[i]) - size[i]
+            inner = np.arange(int(size[i].sum())) - np.repeat(begin, size[i])
+            out[i] = np.logical_and.reduceat(data[np.repeat(a[i], size[i]) + inner] == data[np.repeat(b[i], size[i]) + inner], begin)
+    return out
+
+
+def _first_of(data: np.ndarray, at: np.ndarray, size: np.ndarray, content: np.ndarray, key: np.ndarray, o: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """False for each run whose very bytes also stand at the first place, in order of o, x and start, among the runs of its minimizer, size and hash."""
+    order = np.lexsort((start, x, o, content, size, key))
+    edge = np.append(True, np.any([v[order][1:] != v[order][:-1] for v in (key, size, content)], 0))
+    lead = order[np.maximum.accumulate(np.where(edge, np.arange(len(order)), 0))]
+    out = np.ones(len(order), bool)
+    out[order] = edge | ~_equal(data, at[order], at[lead], size[order])
     return out
 
 
 class Runs:
     """Runs of neighbouring windows with one minimizer in a group of pieces: piece, first window (within the piece), windows,
-    minimizer, whether it stands twice in the run, content hash; ``data`` and ``begin``: the bytes and where pieces begin."""
+    minimizer (of k-grams, k a multiple of 8), whether it stands twice in the run, content hash; ``data`` and ``begin``: the bytes and where pieces begin."""
 
     def __init__(self, pieces: list[bytes], length: int, k: int):
         w = length - k + 1
@@ -76,17 +105,19 @@ class Runs:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.begin = np.cumsum(sizes) - sizes
         n = len(self.data)
-        up, down = powers(n + 1)
         with np.errstate(over="ignore"):
-            total = np.append(np.uint64(0), np.cumsum(BYTES[self.data] * up[:n], dtype=np.uint64))
-            grams = mix((total[k:] - total[:-k]) * down[: n - k + 1])
-            least = _slide(grams, w, np.minimum, 2**64 - 1)
+            eight = mix(np.ndarray((n - 7,), "<u8", self.data, strides=(1,)).astype(np.uint64))
+            grams = np.zeros(n - k + 1, np.uint64)
+            for j in range(0, k, 8):
+                grams += eight[j : j + len(grams)] * np.uint64(ODD * (2 * j + 1) % 2**64)
+            grams = mix(grams)
+            least = slide(grams, w, np.minimum, 2**64 - 1)
             piece = np.repeat(np.arange(len(pieces)), sizes)
             inside = np.zeros(len(least), bool)
             inside[:] = piece[: len(least)] == piece[length - 1 : length - 1 + len(least)]
             # A k-gram is a minimizer if it is the least of any window that holds it.
             held = np.where(inside, least, 0)
-            most = _slide(np.concatenate([np.zeros(w - 1, np.uint64), held, np.zeros(w - 1, np.uint64)]), w, np.maximum, 0)
+            most = slide(np.concatenate([np.zeros(w - 1, np.uint64), held, np.zeros(w - 1, np.uint64)]), w, np.maximum, 0)
             anchor = np.flatnonzero(grams == most[: len(grams)])
             edge = np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (piece[1 : len(least)] != piece[: len(least) - 1]))
             first = np.flatnonzero(edge)
@@ -101,8 +132,7 @@ class Runs:
             run = np.repeat(np.arange(len(first)), n)
             own = grams[anchor[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] == self.key[run]
             self.twice = np.bincount(run, own, len(first)) > 1
-            self.content = mix((total[first + self.size] - total[first]) * down[first] + self.size.astype(np.uint64))
-            self.total, self.down = total, down
+            self.content = Sums(self.data).of(first, self.size)
 
 
 def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -128,12 +158,12 @@ def _grouped(rows: Iterator[tuple], length: int) -> Iterator[tuple[list[tuple[in
 
 
 def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    """Rows of sorted batches, repeated ones once."""
+    """(text in bytes, o, x, ...) of batches sorted by text, repeated rows once."""
     last = None
     for batch in batches:
-        for o, x, y, text, *rest in zip(batch["o"], batch["x"], batch["y"], batch["text"], *(batch[c] for c in columns)):
-            if (o, x, y) != last:
-                last = (o, x, y)
+        for o, tx, ty, x, text, *rest in zip(batch["o"], batch["tx"], batch["ty"], batch["x"], batch["text"], *(batch[c] for c in columns)):
+            if (o, tx, ty) != last:
+                last = (o, tx, ty)
                 yield (text.encode(), o, x, *rest)
 
 
@@ -255,13 +285,13 @@ def _anchors(length: int, k: int):
         for of, pieces, rows in _grouped(_rows(batches, []), length):
             runs = Runs(pieces, length, k)
             doc = np.array([i for i, _ in of])[runs.piece]
-            o = np.array([r[1] for r in rows], np.int64)[doc]
+            o, x = (np.array([r[c] for r in rows], np.int64)[doc] for c in (1, 2))
             # Once for each text; 2 where the minimizer stands in two places or more of it.
             order = np.lexsort((runs.key, doc))
             key, d, twice = runs.key[order], doc[order], runs.twice[order]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])))
             n = np.diff(np.append(first, len(key)))
-            yield pd.DataFrame({"h": key[first].view(np.int64), "o": o[order][first], "n": np.where((n > 1) | np.maximum.reduceat(twice, first), 2, 1)})
+            yield pd.DataFrame({"h": key[first].view(np.int64), "o": o[order][first], "x": x[order][first], "n": np.where((n > 1) | np.maximum.reduceat(twice, first), 2, 1)})
 
     return run
 
@@ -283,15 +313,6 @@ def _fields(rows: list[tuple], of: list[tuple[int, int]], runs: Runs) -> tuple[n
     return np.array([r[1] for r in rows], np.int64)[doc], np.array([r[2] for r in rows], np.int64)[doc], runs.at - runs.begin[runs.piece] + offset
 
 
-def _first_of(*keys: np.ndarray) -> np.ndarray:
-    """For each row whether it is the first, in order of all keys, among those that agree in the first two keys; in the given order of rows."""
-    order = np.lexsort(keys[::-1])
-    a, b = keys[0][order], keys[1][order]
-    out = np.zeros(len(a), bool)
-    out[order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]] = True
-    return out
-
-
 def _spread(length: int, k: int, buckets: int):
     """Runs of doubtful windows, packed by bucket; runs that repeat an earlier one of their group are marked at once (bucket null)."""
 
@@ -302,7 +323,7 @@ def _spread(length: int, k: int, buckets: int):
             if not len(chosen):
                 continue
             o, x, start = _fields(rows, of, runs)
-            first = _first_of(runs.key[chosen], runs.content[chosen], o[chosen], x[chosen], start[chosen])
+            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen], o[chosen], x[chosen], start[chosen])
             again, chosen = chosen[~first], chosen[first]
             bucket = (runs.key[chosen] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -340,7 +361,7 @@ def _judge(length: int, k: int):
         size = count + length - 1
         content = _contents(d, size)
         at = np.cumsum(size) - size
-        first = _first_of(h, content, o, x, start)
+        first = _first_of(d, at, size, content, h, o, x, start)
         out = [np.stack([o, x, start, count])[:, ~first]]
         # Alone with its minimizer, and without a repeat inside: nothing to compare.
         keep = np.flatnonzero(first)
@@ -367,7 +388,7 @@ def _judge(length: int, k: int):
 
 
 def _hot_windows(length: int, k: int):
-    """One row for each different window of hot minimizers in a group (w1, w2: its hashes), at its first place; and ranges known to repeat (w1 null)."""
+    """One row for each window of hot minimizers in the different runs of a group (w1, w2: its digest); and runs known to repeat (w1 null)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for of, pieces, rows in _grouped(_rows(batches, ["hot"]), length):
@@ -376,20 +397,18 @@ def _hot_windows(length: int, k: int):
             if not len(chosen):
                 continue
             o, x, start = _fields(rows, of, runs)
+            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen], o[chosen], x[chosen], start[chosen])
+            again, chosen = chosen[~first], chosen[first]
             n = runs.count[chosen]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             i = np.repeat(chosen, n)
-            at = runs.at[i] + inner
-            with np.errstate(over="ignore"):
-                raw = (runs.total[at + length] - runs.total[at]) * runs.down[at]
-                half = (runs.total[at + length // 2] - runs.total[at]) * runs.down[at]
-                w1, w2 = mix(raw), mix(half ^ mix(raw + np.uint64(ODD)))
-            first = _first_of(w1, w2, o[i], x[i], start[i] + inner)
-            yield pd.DataFrame({"w1": w1[first].view(np.int64), "w2": w2[first].view(np.int64), "o": o[i][first], "x": x[i][first], "start": (start[i] + inner)[first], "count": 1}).astype({"w1": "Int64", "w2": "Int64"})
-            i, place = i[~first], (start[i] + inner)[~first]
-            if len(i):
-                edge = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (place[1:] != place[:-1] + 1)))
-                yield pd.DataFrame({"w1": pd.array([None] * len(edge), "Int64"), "w2": pd.array([None] * len(edge), "Int64"), "o": o[i[edge]], "x": x[i[edge]], "start": place[edge], "count": np.diff(np.append(edge, len(i)))})
+            data = runs.data.tobytes()
+            digests = b"".join(blake2b(data[a : a + length], digest_size=16).digest() for a in (runs.at[i] + inner).tolist())
+            w1, w2 = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+            yield pd.DataFrame({"w1": w1, "w2": w2, "o": o[i], "x": x[i], "start": start[i] + inner, "count": 1}).astype({"w1": "Int64", "w2": "Int64"})
+            if len(again):
+                none = pd.array([None] * len(again), "Int64")
+                yield pd.DataFrame({"w1": none, "w2": none, "o": o[again], "x": x[again], "start": start[again], "count": runs.count[again]})
 
     return run
 
@@ -399,17 +418,16 @@ def _remove(length: int):
         last = None
         for batch in batches:
             out = []
-            for o, i, x, y, text, marks in zip(batch["o"], batch["id"], batch["x"], batch["y"], batch["text"], batch["marks"]):
-                if (o, x, y) == last:
+            for o, tx, ty, i, text, marks in zip(batch["o"], batch["tx"], batch["ty"], batch["id"], batch["text"], batch["marks"]):
+                if (o, tx, ty) == last:
                     continue
-                last = (o, x, y)
+                last = (o, tx, ty)
                 data = np.frombuffer(text.encode(), np.uint8)
                 change = np.zeros(len(data) + 1, np.int32)
-                own = [m for m in marks if m["x"] == x] if marks is not None else []
-                if own:
-                    begin = np.array([m["start"] for m in own])
+                if marks is not None and len(marks):
+                    begin = np.array([m["start"] for m in marks])
                     np.add.at(change, begin, 1)
-                    np.add.at(change, begin + np.array([m["count"] for m in own]) - 1 + length, -1)
+                    np.add.at(change, begin + np.array([m["count"] for m in marks]) - 1 + length, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = data[~gone].tobytes()
                 out.append((i, len(data), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0])), kept))
@@ -425,41 +443,48 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     A byte goes if it is covered by a string of ``length`` bytes that also starts earlier (smaller id, or same document and earlier place). Matches never
     cross documents and are judged on the input.
 
-    Later copies of a whole text go by comparison of 128-bit hashes. Runs of windows are matched by 128 bits in sum of two hashes, what is left by the
-    transform. Bucket sizes don't depend on how often a string repeats: repeated runs travel once for each megabyte read.
+    Later copies of a whole text go by 128 bits of a cryptographic digest. Runs of windows that repeat are told by their bytes, what is left by the
+    transform; only windows of minimizers in more than HOT places are told by a cryptographic digest of each. No other hash decides anything. Bucket
+    sizes don't depend on how often a string repeats: repeated runs travel once for each megabyte read. A very long text goes in pieces of a megabyte.
 
     Defined cases: null counts as empty; texts shorter than ``length`` stay whole; a null id comes after all others; of repeated rows one is the first;
-    different texts of one id are ordered by a hash; an empty table gives an empty table."""
+    different texts of one id (or of no id) are ordered by a hash and are dealt out by it; an empty table gives an empty table; other columns aren't read."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), whole_text(text_col).alias("text"))
-    h1, h2 = two_hashes(F.col("text"))
-    base = base.select("id", "o", h1.alias("x"), h2.alias("y"), "text")
+    base = base.select("id", "o", *(c.alias(n) for c, n in zip(text_ids(F.col("text")), ("tx", "ty"))), "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) * 4 // BUCKET))
 
     # Whole copies: every text but the first of its group goes, if it has the length.
-    rows = base.select("id", "o", "x", "y", F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < length, F.col("text")).alias("short")).groupBy("x", "y", "o", "id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("short").alias("short"))
-    first = rows.groupBy("x", "y").agg(F.min("o").alias("fo"))
-    masked = lambda df: df.withColumns({"mx": F.col("x").bitwiseXOR(F.lit(MASK)), "my": F.col("y").bitwiseXOR(F.lit(MASK))})
-    copies = masked(rows).join(masked(first).drop("x", "y"), ["mx", "my"]).withColumn("more", F.col("c") - F.when(F.col("o") == F.col("fo"), 1).otherwise(0)).filter("more > 0")
+    rows = base.select("id", "o", "tx", "ty", F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < length, F.col("text")).alias("short")).groupBy("tx", "ty", "o", "id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("short").alias("short"))
+    first = rows.groupBy("tx", "ty").agg(F.min("o").alias("fo"))
+    masked = lambda df: df.withColumns({"mx": F.col("tx").bitwiseXOR(F.lit(MASK)), "my": F.col("ty").bitwiseXOR(F.lit(MASK))})
+    copies = masked(rows).join(masked(first).drop("tx", "ty"), ["mx", "my"]).withColumn("more", F.col("c") - F.when(F.col("o") == F.col("fo"), 1).otherwise(0)).filter("more > 0")
     gone = F.when(F.col("n") >= length, F.col("n")).otherwise(F.lit(0))
     copied = copies.select("id", "n", gone.alias("g"), "short", F.explode(F.sequence(F.lit(1), F.col("more"))).alias("i")).select("id", F.col("n").alias("n_bytes"), F.col("g").cast("long").alias("n_removed"), F.when(F.col("g") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.coalesce(F.col("short").cast("binary"), F.lit(b"")).alias("kept"))
 
-    # The first texts, dealt out by id once; all further steps that read texts share that exchange.
-    firsts = first.select(F.col("fo").alias("ro"), F.col("x").alias("rx"), F.col("y").alias("ry")).groupBy("ro").agg(F.array_sort(F.collect_list(F.struct("rx", "ry"))).alias("firsts"))
-    # x becomes the place of the text among those of its id, 0 but for repeated ids: a small number travels in less room than a hash.
-    place_of = F.array_position("firsts", F.struct(F.col("x").alias("rx"), F.col("y").alias("ry")))
-    texts = base.join(firsts.hint("merge"), F.col("o") == F.col("ro")).withColumn("place", place_of).filter("place > 0").select("id", "o", (F.col("place") - 1).alias("x"), F.lit(0).cast("long").alias("y"), "text")
-    anchors = texts.mapInPandas(_anchors(length, GRAM), "h long, o long, n int")
+    # x tells the texts of one id apart: 0 where there is but one (so it travels in no room), else a hash of the text.
+    several = first.groupBy("fo").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("fo").bitwiseXOR(F.lit(MASK)).alias("mo"))
+    named = first.withColumn("mo", F.col("fo").bitwiseXOR(F.lit(MASK))).join(several.withColumn("many", F.lit(True)), "mo", "left").select(F.col("fo").alias("ro"), F.col("tx").alias("rx"), F.col("ty").alias("ry"), F.when(F.col("many"), F.col("tx")).otherwise(F.lit(0).cast("long")).alias("x"))
+    # The first texts, dealt out by id and text once; all further steps that read texts share that exchange.
+    this = (F.col("o") == F.col("ro")) & (F.col("tx") == F.col("rx")) & (F.col("ty") == F.col("ry"))
+    texts = base.join(named.hint("merge"), this).select("id", "o", "tx", "ty", "x", "text")
+
+    def with_text(listed: DataFrame, how: str = "inner") -> DataFrame:
+        """Texts with what is listed for (lo, lx)."""
+        keyed = named.withColumn("mo", F.col("ro").bitwiseXOR(F.lit(MASK))).join(listed.withColumn("mo", F.col("lo").bitwiseXOR(F.lit(MASK))).withColumnRenamed("lx", "x"), ["mo", "x"]).drop("mo", "x", "lo")
+        return texts.join(keyed.hint("merge"), this, how).drop("ro", "rx", "ry")
+
+    anchors = texts.mapInPandas(_anchors(length, GRAM), "h long, o long, x long, n int")
     shared = anchors.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1").select(F.col("h").bitwiseXOR(F.lit(MASK)).alias("k"), (F.col("c") > HOT).alias("hot"))
-    doubtful = anchors.select("o", F.col("h").bitwiseXOR(F.lit(MASK)).alias("k")).join(shared, "k").withColumn("h", F.col("k").bitwiseXOR(F.lit(MASK))).groupBy(F.col("o").alias("lo")).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    listed = texts.join(doubtful.hint("merge"), F.col("o") == F.col("lo")).select("id", "o", "x", "y", "text", "cold", "hot")
+    doubtful = anchors.select("o", "x", F.col("h").bitwiseXOR(F.lit(MASK)).alias("k")).join(shared, "k").withColumn("h", F.col("k").bitwiseXOR(F.lit(MASK))).groupBy(F.col("o").alias("lo"), F.col("x").alias("lx")).agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    listed = with_text(doubtful)
     spread = listed.mapInPandas(_spread(length, GRAM, buckets), f"bucket long, blob binary, {MARKS}")
     judged = spread.groupBy("bucket").applyInPandas(_judge(length, GRAM), MARKS)
     windows = listed.filter(F.size("hot") > 0).mapInPandas(_hot_windows(length, GRAM), f"w1 long, w2 long, {MARKS}")
     place = F.struct("o", "x", "start")
     earliest = windows.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("e")).select(F.col("w1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("w2").bitwiseXOR(F.lit(MASK)).alias("k2"), "e")
     repeated = windows.withColumns({"k1": F.col("w1").bitwiseXOR(F.lit(MASK)), "k2": F.col("w2").bitwiseXOR(F.lit(MASK))}).join(earliest, ["k1", "k2"], "left").filter(F.col("w1").isNull() | (place != F.col("e"))).select("o", "x", "start", "count")
-    marks = judged.unionByName(repeated).groupBy(F.col("o").alias("lo")).agg(F.collect_list(F.struct("x", "start", "count")).alias("marks"))
-    kept = texts.join(marks.hint("merge"), F.col("o") == F.col("lo"), "left").select("id", "o", "x", "y", "text", "marks").mapInPandas(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marks = judged.unionByName(repeated).groupBy(F.col("o").alias("lo"), F.col("x").alias("lx")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    kept = with_text(marks, "left").mapInPandas(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.unionByName(copied).withColumnRenamed("id", id_col)

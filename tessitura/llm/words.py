@@ -23,20 +23,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_hashes(cps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that stand end to end in ``cps`` (code points or bytes), each ``sizes`` long.
+
+    Every place of a string has random numbers of its own for the characters (mix is a bijection, and each pair of character and place gives it another
+    number), so no pattern of letters makes two strings meet, as it would with powers of one base."""
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(cps)) - np.repeat(begin, sizes)
     with np.errstate(over="ignore"):
-        out = []
-        for base in (ODD, pow(ODD, -1, 2**64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        return out[0], out[1]
+        x = mix((place.astype(np.uint64) << np.uint64(21)) + cps.astype(np.uint64) + np.uint64(ODD))
+        total = np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
+        return mix(total[begin + sizes] - total[begin] + sizes.astype(np.uint64))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(21, (n + 1).bit_length()))
-    return up[:n], down[:n]
+def slide(v: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
+    """op over v[i : i + w] for each i that has w values."""
+    n = len(v) - w + 1
+    if n <= 0:
+        return v[:0]
+    padded = np.append(v, np.full(-len(v) % w, fill, v.dtype)).reshape(-1, w)
+    ahead = op.accumulate(padded, 1).ravel()
+    back = op.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
+    return op(back[:n], ahead[w - 1 : w - 1 + n])
 
 
 @lru_cache(1)
@@ -80,11 +88,7 @@ def _hash_group(queue: list[tuple[int, str]], counts: np.ndarray) -> np.ndarray:
     bounds = np.cumsum([len(p) + 1 for _, p in queue])
     words = np.diff(np.searchsorted(starts, bounds), prepend=0)
     np.add.at(counts, [i for i, _ in queue], words)
-    up, down = powers(len(cps))
-    with np.errstate(over="ignore"):
-        x = mix(cps.astype(np.uint64) + np.uint64(ODD)) * up
-        total = np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return sum_hashes(cps[~blank], ends - starts)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
