@@ -22,7 +22,7 @@ def duck(sf):
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or not isinstance(v, (list, tuple, dict)) and not hasattr(v, "shape") and pd.isna(v):
             return None
         return round(float(v), 5) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
