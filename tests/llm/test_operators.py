@@ -69,8 +69,11 @@ def test_ctph_blocks_and_likeness(monkeypatch):
 
 
 def shingle_set(t, n=5):
-    w = (t or "").lower().split()
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    w, out = (t or "").lower().split(), set()
+    for i in range(max(1, len(w) - n + 1) if w else 0):
+        g = tuple(w[i : i + n])
+        out.add((g, next(k for k in range(len(w)) if (g, k) not in out)))
+    return out
 
 
 def classes_of(texts):
@@ -139,17 +142,64 @@ def test_near_duplicates_unlike_texts_of_one_bucket(spark, block, monkeypatch):
     assert got == want
 
 
-def test_crossed_pairs_over_batches():
-    """Each pair of rows of a pair of blocks once, wherever the batches end; not those of one class, nor of one block where there are two."""
+def test_block_pairs_over_batches():
+    """Each pair of rows of a pair of blocks once, wherever the batches end; not those of one class, nor of one block where there are two, nor those that
+    an earlier band has brought together; and of the links only as many as join classes."""
     import pandas as pd
 
     sketch = np.zeros(4, ">u2").tobytes()
-    rows = [(h, p, q, own, rep, rep // 2) for h in range(3) for p, q in ((0, 0), (0, 1), (1, 1)) for own in {p, q} for rep in range(own * 10, own * 10 + 5 + h)]
-    table = pd.DataFrame([(*r, sketch) for r in rows], columns=["h", "p", "q", "own", "rep", "class", "sketch"])
-    want = sorted((max(x[4], y[4]), min(x[4], y[4])) for x, y in combinations(rows, 2) if x[:3] == y[:3] and x[5] != y[5] and (x[1] == x[2] or x[3] != y[3]))
+    rows = [(h, 1, p, q, own, rep, rep // 2) for h in range(3) for p, q in ((0, 0), (0, 1), (1, 1)) for own in {p, q} for rep in range(own * 10, own * 10 + 5 + h)]
+    table = pd.DataFrame([(*r, sketch, np.array([r[5] % 3, 7])) for r in rows], columns=["h", "band", "p", "q", "own", "node", "class", "sketch", "bands"])
+    key = ["h", "p", "q", "node"]
+    pairs = [(x, y) for x, y in combinations(rows, 2) if (x[0], *x[2:4]) == (y[0], *y[2:4]) and x[6] != y[6] and (x[2] == x[3] or x[4] != y[4]) and x[5] % 3 != y[5] % 3]
+    want = sorted({(r[0], r[2], r[3], r[5]) for pair in pairs for r in pair})
+    one = table.assign(set=np.arange(5, dtype=np.uint32).tobytes())
     for size in (1, 2, 7, 50, 1000):
-        out = pd.concat(near_dup._crossed(4, 0.9)(table.iloc[i : i + size] for i in range(0, len(table), size)))
-        assert sorted(zip(out["a"], out["b"])) == want, size
+        out = pd.concat(near_dup._needed(4, 0.9)(table.iloc[i : i + size] for i in range(0, len(table), size)))
+        assert sorted(map(tuple, out[key].to_numpy().tolist())) == want, size
+        links = pd.concat(near_dup._linked(4, 0.9, 0.8)(one.iloc[i : i + size] for i in range(0, len(one), size)))
+        # Where all are alike, the classes of each pair of blocks come to one.
+        assert len(links) == sum(len({r[6] for x in pairs for r in x if (r[0], r[2], r[3]) == k}) - 1 for k in {(h, p, q) for h, _, p, q, *_ in rows})
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.85])
+def test_near_duplicates_recall_in_a_template(spark, similarity):
+    """Texts of one template, each with one twin just above the similarity: at least nine tenths of all links are found, whatever the partitions."""
+    r, texts = random.Random(int(similarity * 100)), {}
+    common = prose(120, 77)
+    for k in range(300):
+        own = [f"t{k}_{i}" for i in range(300)]
+        texts[k] = f"{common} {' '.join(own)}"
+        # One changed word takes five runs of some 416; m of them leave (n - 5m) / (n + 5m).
+        n = 416
+        m = int(n * (1 - similarity - 0.002) / (5 * (1 + similarity + 0.002)))
+        for i in range(m):
+            own[8 + i * 290 // m] = f"z{k}_{i}"
+        texts[1000 + k] = f"{common} {' '.join(own)}"
+    rows = spark.createDataFrame(r.sample(list(texts.items()), len(texts)), "doc_id long, text string")
+    results = []
+    for parts in (4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            results.append({x.doc_id: x.class_id for x in near_dup.near_duplicates(rows).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert results[0] == results[1]
+    # The query set: every id divisible by 100; and all pairs.
+    for asked in (range(0, 300, 100), range(300)):
+        assert sum(results[0][1000 + k] == results[0][k] for k in asked) >= 0.9 * len(asked)
+    assert len(set(results[0].values())) >= 300
+
+
+def test_near_duplicates_weigh_repeated_runs(spark):
+    """Runs count as often as they stand; several texts of one id are told apart; text_col and clashing columns."""
+    a, b = " ".join(["one two three four five six"] * 40), " ".join(["one two three four five six"] * 80)
+    rows = [(1, a), (2, b), (3, a + " end"), (4, prose(90, 5)), (4, prose(90, 6)), (5, prose(90, 6)), (4, prose(90, 5))]
+    d = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, body string, text string, __t1 int, node int")
+    got = sorted((r.doc_id, r.class_id) for r in near_dup.near_duplicates(d, text_col="body").collect())
+    assert [c for i, c in got if i < 4] == [1, 2, 1] and len({c for i, c in got if i > 3}) == 2
+    kept = near_dup.keep_one(d, text_col="body")
+    assert kept.columns == d.columns and sorted(r.body for r in kept.collect()) == sorted({a, b, prose(90, 5), prose(90, 6)})
 
 
 def test_dart_signatures_estimate_weighted_similarity():
