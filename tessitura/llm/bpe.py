@@ -134,7 +134,7 @@ class Vocabulary:
         reach = max(map(len, self.tokens))
         rim = np.full(reach, NO_RANK)
         while (rank < NO_RANK).any():
-            least = slide(np.concatenate([rim, rank, rim]), 2 * reach + 1, np.minimum, NO_RANK)
+            least = slide(np.concatenate([rim, rank, rim]), 2 * reach + 1, np.minimum)
             run = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
             size = np.diff(np.append(run, len(rank)))
             ready = np.logical_and.reduceat((rank == least) & (rank < NO_RANK), run)

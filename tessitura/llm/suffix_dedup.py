@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import text_ids, whole_text
-from tessitura.llm.words import ODD, mix, slide
+from tessitura.llm.words import ODD, PIECE, mix, slide
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once; a longer text goes in pieces that overlap by length - 1.
@@ -85,13 +85,34 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def _first_of(data: np.ndarray, at: np.ndarray, size: np.ndarray, content: np.ndarray, key: np.ndarray, o: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """False for each run whose very bytes also stand at the first place, in order of o, x and start, among the runs of its minimizer, size and hash."""
-    order = np.lexsort((start, x, o, content, size, key))
-    edge = np.append(True, np.any([v[order][1:] != v[order][:-1] for v in (key, size, content)], 0))
+def _first_of(data: np.ndarray, at: np.ndarray, size: np.ndarray, content: np.ndarray, key: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """False for each run whose very bytes also stand at the first place among the runs of its minimizer, size and hash.
+
+    ``place``: o, x and start, by which the runs are ordered; without, they are in order."""
+    with np.errstate(over="ignore"):
+        alike = mix(key + content * np.uint64(ODD) + size.astype(np.uint64))
+    order = np.lexsort((*place[::-1], alike)) if place else np.argsort(alike, kind="stable")
+    edge = np.append(True, alike[order][1:] != alike[order][:-1])
     lead = order[np.maximum.accumulate(np.where(edge, np.arange(len(order)), 0))]
     out = np.ones(len(order), bool)
-    out[order] = edge | ~_equal(data, at[order], at[lead], size[order])
+    i, j = order[~edge], lead[~edge]
+    same = size[i] == size[j]
+    i, j = i[same], j[same]
+    out[i] = ~_equal(data, at[i], at[j], size[i])
+    return out
+
+
+def _grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k bytes, k a multiple of eight."""
+    eight, n = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)), len(data) - k + 1
+    out = np.empty(n, np.uint64)
+    for s in range(0, n, PIECE):
+        part = mix(eight[s : s + PIECE + k - 8].astype(np.uint64))
+        m = min(PIECE, n - s)
+        total = part[:m] * np.uint64(ODD)
+        for j in range(8, k, 8):
+            total += part[j : j + m] * np.uint64(ODD * (2 * j + 1) % 2**64)
+        out[s : s + m] = mix(total)
     return out
 
 
@@ -106,18 +127,14 @@ class Runs:
         self.begin = np.cumsum(sizes) - sizes
         n = len(self.data)
         with np.errstate(over="ignore"):
-            eight = mix(np.ndarray((n - 7,), "<u8", self.data, strides=(1,)).astype(np.uint64))
-            grams = np.zeros(n - k + 1, np.uint64)
-            for j in range(0, k, 8):
-                grams += eight[j : j + len(grams)] * np.uint64(ODD * (2 * j + 1) % 2**64)
-            grams = mix(grams)
-            least = slide(grams, w, np.minimum, 2**64 - 1)
+            grams = _grams(self.data, k)
+            least = slide(grams, w, np.minimum)
             piece = np.repeat(np.arange(len(pieces)), sizes)
             inside = np.zeros(len(least), bool)
             inside[:] = piece[: len(least)] == piece[length - 1 : length - 1 + len(least)]
             # A k-gram is a minimizer if it is the least of any window that holds it.
             held = np.where(inside, least, 0)
-            most = slide(np.concatenate([np.zeros(w - 1, np.uint64), held, np.zeros(w - 1, np.uint64)]), w, np.maximum, 0)
+            most = slide(np.concatenate([np.zeros(w - 1, np.uint64), held, np.zeros(w - 1, np.uint64)]), w, np.maximum)
             anchor = np.flatnonzero(grams == most[: len(grams)])
             edge = np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (piece[1 : len(least)] != piece[: len(least) - 1]))
             first = np.flatnonzero(edge)
@@ -132,7 +149,11 @@ class Runs:
             run = np.repeat(np.arange(len(first)), n)
             own = grams[anchor[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] == self.key[run]
             self.twice = np.bincount(run, own, len(first)) > 1
-            self.content = Sums(self.data).of(first, self.size)
+
+
+    @cached_property
+    def content(self) -> np.ndarray:
+        return Sums(self.data).of(self.at, self.size)
 
 
 def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -323,7 +344,7 @@ def _spread(length: int, k: int, buckets: int):
             if not len(chosen):
                 continue
             o, x, start = _fields(rows, of, runs)
-            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen], o[chosen], x[chosen], start[chosen])
+            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen])
             again, chosen = chosen[~first], chosen[first]
             bucket = (runs.key[chosen] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -361,7 +382,7 @@ def _judge(length: int, k: int):
         size = count + length - 1
         content = _contents(d, size)
         at = np.cumsum(size) - size
-        first = _first_of(d, at, size, content, h, o, x, start)
+        first = _first_of(d, at, size, content, h.view(np.uint64), o, x, start)
         out = [np.stack([o, x, start, count])[:, ~first]]
         # Alone with its minimizer, and without a repeat inside: nothing to compare.
         keep = np.flatnonzero(first)
@@ -397,7 +418,7 @@ def _hot_windows(length: int, k: int):
             if not len(chosen):
                 continue
             o, x, start = _fields(rows, of, runs)
-            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen], o[chosen], x[chosen], start[chosen])
+            first = _first_of(runs.data, runs.at[chosen], runs.size[chosen], runs.content[chosen], runs.key[chosen])
             again, chosen = chosen[~first], chosen[first]
             n = runs.count[chosen]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)

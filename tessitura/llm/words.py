@@ -14,8 +14,17 @@ BLANKS = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 EDGE = regex.compile("[^%s][%s]" % ((regex.escape("".join(map(chr, BLANKS))),) * 2))
 
 
+#: Numbers that are worked on at once where a step reads them many times.
+PIECE = 1 << 15
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
+    if x.ndim == 1 and len(x) > PIECE:
+        out = np.empty(len(x), np.uint64)
+        for s in range(0, len(x), PIECE):
+            out[s : s + PIECE] = mix(x[s : s + PIECE])
+        return out
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -36,15 +45,19 @@ def sum_hashes(cps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(total[begin + sizes] - total[begin] + sizes.astype(np.uint64))
 
 
-def slide(v: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
-    """op over v[i : i + w] for each i that has w values."""
+def slide(v: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
+    """op (least or most) over v[i : i + w] for each i that has w values, in doubling widths; a piece that fits a cache at a time."""
     n = len(v) - w + 1
     if n <= 0:
         return v[:0]
-    padded = np.append(v, np.full(-len(v) % w, fill, v.dtype)).reshape(-1, w)
-    ahead = op.accumulate(padded, 1).ravel()
-    back = op.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return op(back[:n], ahead[w - 1 : w - 1 + n])
+    out = np.empty(n, v.dtype)
+    for s in range(0, n, PIECE):
+        part, width = v[s : min(s + PIECE, n) + w - 1], 1
+        while 2 * width <= w:
+            part, width = op(part[:-width], part[width:]), 2 * width
+        m = min(PIECE, n - s)
+        op(part[:m], part[w - width : w - width + m], out=out[s : s + m])
+    return out
 
 
 @lru_cache(1)

@@ -95,8 +95,9 @@ def test_suffix_dedup_patterned_texts(spark):
 def test_runs_are_told_by_their_bytes():
     data = np.frombuffer(b"abcdabcdabceabcd", np.uint8)
     at, size, zero = np.array([0, 4, 8, 12]), np.full(4, 4), np.zeros(4, np.uint64)
-    first = suffix_dedup._first_of(data, at, size, zero, zero, np.arange(4), np.zeros(4, np.int64), np.zeros(4, np.int64))
-    assert first.tolist() == [True, False, True, False]
+    assert suffix_dedup._first_of(data, at, size, zero, zero).tolist() == [True, False, True, False]
+    back, none = np.arange(4)[::-1], np.zeros(4, np.int64)
+    assert suffix_dedup._first_of(data, at, size, zero, zero, back, none, none).tolist() == [False, False, True, True]
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
