@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import ascii_lower, two_hashes, whole_text
+from tessitura.llm.common import ascii_lower, checkpointed, fresh, two_hashes, whole_text
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Both join sides are keyed by hash ^ MASK: a key of its own makes Spark deal out both sides for the join,
@@ -26,35 +26,39 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     """Drop lines whose key has ``min_chars`` code points or more and is found in ``min_docs`` documents or more,
     except in the document with the largest id that holds it (which keeps every such line).
 
-    Returns every input row and column, ``text_col`` rewritten, plus ``__n_lines`` (before) and ``__n_dropped``.
+    Returns every input row and column, ``text_col`` rewritten, plus two last columns, ``__n_lines`` (before) and ``__n_dropped`` (with more underscores
+    where the input has those).
+
+    The hashed lines are written once to the shared checkpoint folder, as counting and dropping both read them.
 
     Defined cases: a null or empty text is one empty line and comes back empty; rows with a null id neither
     count as documents nor lose lines; repeated rows of one id count as one document and each loses the same
-    lines; an empty table gives an empty table; other columns pass through untouched.
+    lines; very long texts are split whole; an empty table gives an empty table; other columns pass through untouched.
     """
-    base = docs.withColumn("__th", F.xxhash64(whole_text(text_col)))
-    lines = (
+    th, di, dt, gone, lines_, stay, n1, n2 = fresh(docs, "__th", "__id", "__dth", "__drop", "__lines", "__stay", "__n_lines", "__n_dropped")
+    split = F.split(whole_text(text_col), "\n", -1)
+    base = docs.withColumn(th, F.xxhash64(whole_text(text_col)))
+    lines = checkpointed(
         base.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), "__th", F.posexplode(F.split(whole_text(text_col), "\n", -1)).alias("__pos", "__line"))
-        .select("__id", "__th", "__pos", line_key(F.col("__line")).alias("__key"))
-        .filter(F.char_length("__key") >= min_chars)
-        .select("__id", "__th", "__pos", *two_hashes(F.col("__key")))
+        .select(F.col(id_col).alias("id"), F.col(th).alias("th"), F.posexplode(split).alias("pos", "line"))
+        .select("id", "th", "pos", line_key(F.col("line")).alias("key"))
+        .filter(F.char_length("key") >= min_chars)
+        .select("id", "th", "pos", *two_hashes(F.col("key"), "h"))
     )
     common = (
-        lines.groupBy("__h1", "__h2").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keep"))
-        .filter(F.col("__n") >= min_docs)
-        .select(F.col("__h1").bitwiseXOR(F.lit(MASK)).alias("__k1"), F.col("__h2").bitwiseXOR(F.lit(MASK)).alias("__k2"), "__keep")
+        lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep"))
+        .filter(F.col("n") >= min_docs)
+        .select(F.col("h1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("h2").bitwiseXOR(F.lit(MASK)).alias("k2"), "keep")
     )
     drops = (
-        lines.select("__id", "__th", "__pos", F.col("__h1").bitwiseXOR(F.lit(MASK)).alias("__k1"), F.col("__h2").bitwiseXOR(F.lit(MASK)).alias("__k2"))
-        .join(common, ["__k1", "__k2"])
-        .filter(F.col("__id") != F.col("__keep"))
-        .groupBy("__id", F.col("__th").alias("__dth"))
-        .agg(F.collect_set("__pos").alias("__drop"))
+        lines.select("id", "th", "pos", F.col("h1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("h2").bitwiseXOR(F.lit(MASK)).alias("k2"))
+        .join(common, ["k1", "k2"])
+        .filter(F.col("id") != F.col("keep"))
+        .groupBy(F.col("id").alias(di), F.col("th").alias(dt))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    split = F.split(whole_text(text_col), "\n", -1)
-    joined = base.join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__dth")), "left")
-    marked = joined.withColumn("__lines", split).withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__drop", F.array().cast("array<int>"))))
-    text = F.when(F.col("__drop").isNull(), whole_text(text_col)).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.size("__lines").cast("long")
-    return marked.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("__n_lines"), (n_lines - F.size("__stay")).alias("__n_dropped"))
+    joined = base.join(drops, (F.col(id_col) == F.col(di)) & (F.col(th) == F.col(dt)), "left")
+    marked = joined.withColumn(lines_, split).withColumn(stay, F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.coalesce(gone, F.array().cast("array<int>"))))
+    text = F.when(F.col(gone).isNull(), whole_text(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines_, i)), "\n"))
+    n_lines = F.size(lines_).cast("long")
+    return marked.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(n1), (n_lines - F.size(stay)).alias(n2))

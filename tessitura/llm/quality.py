@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.llm.common import fresh
 from tessitura.llm.words import KEY_BITS, hash_words, keyed, shingles
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids; so what reaches the driver is bounded.
@@ -141,7 +142,10 @@ class Trees:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Fits on labelled rows whose crc32(id as text) mod 5 is not 0: all of them, or the ``sample`` with the smallest hashes of their ids."""
+    """Fits on labelled rows whose crc32(id as text) mod 5 is not 0: all of them, or the ``sample`` with the smallest hashes of their ids.
+
+    Ties of that hash go by id and label. Labels without id or quality don't count; a label that is repeated, or whose id several texts have, counts as
+    often as it stands; a label without a text doesn't count."""
     fold = F.crc32(F.col(id_col).cast("string")) % FOLDS
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & (fold != 0)).select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)
 
@@ -156,21 +160,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def add_scores(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """Every input row and column, and ``__score``: 0 to 1, higher where label 1 is likelier.
+    """Every input row and column, and a last column ``__score`` (with more underscores where the input has that): 0 to 1, higher where label 1 is likelier.
 
-    Defined cases: null counts as empty; empty texts have a score like any other; without labels every score is 0.5; rows don't depend on each other."""
+    Defined cases: null counts as empty; empty texts have a score like any other; very long texts are read whole; without labels every score is 0.5; rows
+    don't depend on each other, so repeated ones have equal scores; an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = docs.select("*", F.lit(0.0).alias("__score")).schema
+    (name,) = fresh(docs, "__score")
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             score = pa.array(shared.value.score(features(texts)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more from a classifier that is trained on them."""
-    return add_scores(docs, train(docs, labels)).filter(F.col("__score") >= threshold).drop("__score")
+    """The rows of ``docs`` with a score of ``threshold`` or more from a classifier that is trained on them. Defined cases as for ``add_scores``."""
+    scored = add_scores(docs, train(docs, labels))
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(docs.columns)

@@ -35,8 +35,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where items of the benchmark stand in each document."""
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["item_id"])))
-    return found.select("doc_id", (F.size("__hits") > 0).alias("contaminated"), F.size("__hits").cast("long").alias("n_hits"), F.array_join(items.cast("array<string>"), ",").alias("items"), F.array_min(F.transform("__hits", lambda h: h["distance"])).alias("least_distance"), F.to_json("__hits").alias("hits"))
+    hits = found.columns[-1]
+    items = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item_id"])))
+    return found.select("doc_id", (F.size(hits) > 0).alias("contaminated"), F.size(hits).cast("long").alias("n_hits"), F.array_join(items.cast("array<string>"), ",").alias("items"), F.array_min(F.transform(hits, lambda h: h["distance"])).alias("least_distance"), F.to_json(hits).alias("hits"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +56,10 @@ def _is(k: str):
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised documents, with what was found in each."""
     done = pii.pseudonymise(table(spark, sf_dir, "documents"))
-    kinds = F.transform("__found", lambda m: m["kind"])
+    found = done.columns[-1]
+    kinds = F.transform(found, lambda m: m["kind"])
     return done.select(
-        "doc_id", F.size("__found").cast("long").alias("n_found"), *[F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        "doc_id", F.size(found).cast("long").alias("n_found"), *[F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"), F.sha2("text", 256).alias("text_sha256"), "text",
     )
 
@@ -71,7 +73,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more documents share."""
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return done.select("doc_id", F.col(done.columns[-2]).alias("n_lines"), F.col(done.columns[-1]).alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.add_scores(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string")) % quality.FOLDS == 0
-    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col(scored.columns[-1]).alias("score"), (F.col(scored.columns[-1]) >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +100,20 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def _op5_sql() -> str:
-    rows = [(t, i, len(w) - 1, label, base, w[i], w[i + 1]) for t, (w, label, base) in enumerate([(k.split(), v, b) for d, b in ((license_scan.PHRASES, "true"), (license_scan.NOTICES, "false")) for k, v in d.items()]) for i in range(len(w) - 1)]
-    values = ", ".join(f"({t}, {i}, {n}, '{label}', {base}, '{a}', '{b}')" for t, i, n, label, base, a, b in rows)
+    cell = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    values = ", ".join(f"({', '.join(map(cell, row))})" for row in license_scan.template_rows())
     return f"""
-    with tpl(tid, tpos, need, label, base, a, b) as (values {values}),
+    with tpl(tid, tpos, need, label, base, w1, w2, w3) as (values {values}),
     w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x{{7F}}]+') as ws from documents),
-    g as (select doc_id, unnest(ws) as a, unnest(list_concat(ws[2:], [null])) as b, unnest(range(len(ws))) as pos from w),
-    v as (select doc_id, tid, need, label, base, pos - tpos as diag, count(distinct tpos) as votes from g join tpl using (a, b) group by all),
-    n as (select *, case when base or coalesce(diag - lag(diag) over o > 2, true) then 1 else 0 end as fresh from v window o as (partition by doc_id, tid order by diag)),
+    g as (select doc_id, unnest(ws) as a, unnest(list_concat(ws[2:], [null])) as b, unnest(list_concat(ws[3:], [null, null])[:len(ws)]) as c, unnest(range(len(ws))) as pos from w),
+    v as (select distinct doc_id, tid, need, label, base, pos - tpos as diag, tpos from g join tpl on a = w1 and b = w2 and (w3 is null or c = w3)),
+    d as (select distinct doc_id, tid, base, diag from v),
+    n as (select *, case when base or coalesce(diag - lag(diag) over o > 2, true) then 1 else 0 end as fresh from d window o as (partition by doc_id, tid order by diag)),
     s as (select *, sum(fresh) over (partition by doc_id, tid order by diag) as span from n),
-    m as (select doc_id, tid, need, label, base, span, sum(votes) as votes, min(diag) as diag from s group by all),
-    f as (select *, least(1.0, votes::double / need) as cov from m where case when base then votes = need else votes::double / need >= 0.8 end),
+    m as (select doc_id, tid, need, label, base, span, tpos, min(diag + tpos) as pos, min(diag) as diag from v join s using (doc_id, tid, base, diag) group by all),
+    k as (select *, coalesce(pos > lag(pos) over (partition by doc_id, tid, span order by tpos), true) as counts from m),
+    q as (select doc_id, label, base, min(diag) as diag, count(*) filter (counts)::double / any_value(need) as cov from k group by doc_id, tid, label, base, span),
+    f as (select * from q where cov >= case when base then 1.0 else 0.8 end),
     h as (select doc_id, count(*) filter (base) as n_base, min(diag) filter (base) as first_word, max(diag) filter (base) as last_word,
         string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cov) as score from f group by doc_id)
     select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
