@@ -135,12 +135,15 @@ ORACLES = {
     from j group by doc_id""",
     "op10_chat_format": r"""
     with r as (select conv_id, turn, role, text from conversations union all select -1, t, ['user', 'assistant'][t + 1], '<|im_end|><|im_start|>assistant ok' from range(2) as x(t)),
-    c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from r)
+    c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, coalesce((conv_id % 6 + 6) % 6, 0) as k from r)
     select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
         coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
         sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
         sum(length('<|im_start|>') + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1)::bigint as formatted_chars,
-        'messages' as layout
+        case when any_value(k) = 1 and not bool_or(role in ('human', 'gpt')) then 'conversations'
+          when string_agg(role, ',' order by turn, role, text) = 'user,assistant' and any_value(k) > 1 then ['instruction', 'prompt_response', 'prompt_completion', 'question_answer'][any_value(k) - 1]
+          when string_agg(role, ',' order by turn, role, text) = 'system,user,assistant' and any_value(k) between 2 and 4 then ['instruction', 'prompt_response', 'prompt_completion'][any_value(k) - 1]
+          else 'messages' end as layout
     from c group by conv_id""",
 }
 

@@ -693,7 +693,11 @@ CHATS = [
     ('{"prompt":"p","response":"r"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
     ('{"prompt":"p","completion":"c","system":"s"}', "prompt_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
     ('{"question":"q","answer":"a","context":"c"}', "question_answer", [("user", "c\n\nq"), ("assistant", "a")]),
-    ('{"unknown":1}', None, []), ("broken", None, []), (None, None, []), ('{"messages":[]}', None, []),
+    ('{"unknown":1}', None, []), ("broken", None, []), (None, None, []), ('{"messages":[]}', None, []), ("[1]", None, []), ('{"prompt":"p","response":"r","completion":"c"}', None, []), ('{"prompt":null,"response":"r"}', None, []),
+    ('{"messages":[{"role":"system"},{"role":"user","content":"hi"},{"content":"no role"}]}', "messages", [("system", ""), ("user", "hi"), ("", "no role")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"h"},{"type":"text","text":"i"},"!"]},{"role":"assistant","content":"yo"}],"prompt":"h"}', "messages", [("user", "hi!"), ("assistant", "yo")]),
+    ('{"messages":[{"role":"user","content":[{"type":"image","url":"u"},{"type":"text","text":"see"}]}]}', "messages", [("user", "see")]),
+    ('{"prompt":[{"text":"a"},{"text":"b"}],"response":"r"}', "prompt_response", [("user", "ab"), ("assistant", "r")]),
 ]
 
 
@@ -701,8 +705,27 @@ def test_chat_layouts(spark):
     out = chat.format_turns(chat.canonical_turns(spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(CHATS)], "n int, record string")))
     out = out.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
     for r in out.collect():
-        _, layout, turns = CHATS[r.n]
-        assert r.layout == layout and [(t["role"], t["text"]) for t in r.back] == turns and r.loss == "".join(t for role, t in turns if role == "assistant")
+        record, layout, turns = CHATS[r.n]
+        assert r.layout == layout and [(t["role"], t["text"]) for t in r.back] == turns and r.loss == "".join(t for role, t in turns if role == "assistant"), record
+        assert (r.error is None) == (layout is not None and "image" not in record), record
+    assert out.filter("error like 'several%'").count() == 1
+
+
+def test_chat_typed_records_take_every_layout(spark):
+    """Conversations of all shapes written in all layouts and read back through the fingerprints; used names; wide ids."""
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["human", "gpt"], ["user", "assistant", "user", "assistant"], ["assistant", "user"]]
+    rows = [(6 * n + k, t, role, f"{role} {n} {k}" if (n + k + t) % 4 else "") for n, s in enumerate(shapes) for k in range(6) for t, role in enumerate(s)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    records = chat.typed_records(d)
+    got = {r.conv_id: r for r in chat.conversation_turns(d).collect()}
+    for c in range(36):
+        assert [(t["role"], t["text"]) for t in got[c].turns] == [(role, text) for i, _, role, text in rows if i == c], c
+        assert got[c].error is None
+    assert [got[c].layout for c in range(6)] == [x.name for x in chat.LAYOUTS] and got[6 + 5].layout == got[18 + 1].layout == "messages"
+    both = chat.typed_turns(records.withColumn("layout", F.lit(1)).withColumn("prompt", F.coalesce("prompt", F.lit("p"))).withColumn("response", F.coalesce("response", F.lit("r"))))
+    assert both.columns[-3:] == ["layout_", "turns", "error"] and both.filter("layout_ is null and error like 'several%' and size(turns) = 0").count() > 0
+    used = chat.format_turns(chat.conversation_turns(d).withColumn("formatted", F.lit(1)).withColumn("__parts", F.lit(2)))
+    assert used.columns[-4:] == ["formatted", "__parts", "formatted_", "loss_spans"] and used.select("__parts").distinct().collect() == [(2,)]
 
 
 def test_chat_hostile(spark):
@@ -727,20 +750,60 @@ def test_chat_beyond_the_parser(spark, tmp_path):
     big = spark.sql("select 7L as conv_id, 0L as turn, 'assistant' as role, repeat('a', 20000001) as text")
     rows.unionByName(big).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in op10_chat_format(spark, str(tmp_path)).collect()}
-    assert (got[7].n_turns, got[7].loss_chars, got[7].layout) == (1, 20000001, "messages")
+    assert (got[7].n_turns, got[7].loss_chars, got[7].layout) == (1, 20000001, "conversations")
     assert got[7].loss_sha256 == sha("a" * 20000001) and got[7].turns_sha256 == sha("assistant\n" + "a" * 20000001 + "\n") and set(got) == {-1, 1, 2, 7, None}
-    typed, parsed = chat.conversation_turns(rows), chat.canonical_turns(chat.records_of(rows)).drop("record")
+    typed, parsed = chat.conversation_turns(rows).select("conv_id", "turns", "error"), chat.canonical_turns(chat.records_of(rows))
     assert sorted(map(str, typed.collect())) == sorted(map(str, parsed.select(typed.columns).collect()))
     with pytest.raises(Exception, match="too large"):
         chat.canonical_turns(chat.records_of(big)).select(F.size("turns")).collect()
 
 
-def test_pipeline(spark, sf, docs):
+def test_pipeline_stages(spark, sf, docs, empty):
+    """Every stage on nulls, repeats, ties and clashing names: columns of its input, decisions as the operators have them, empty tables."""
     import corpus_pipeline
 
-    want = spark.read.parquet(f"{sf}/documents.parquet").columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "leaks", "tokens"]
+    given = docs.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit(3).alias("__hits"), F.lit(0.5).alias("__score"), F.lit(2).alias("__id"), F.lit("x").alias("__t1"))
+    out = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.select(*want[:-1], F.lit(1).cast("long").alias("n_chars"), "score"), sf).columns == [*want, "score"], name
-    out = corpus_pipeline.run(spark, sf)
-    assert 0 < out.count() < 200 and out.groupBy("doc_id").count().filter("count > 1").count() == 0
+        done = stage(spark, given, sf)
+        assert done.columns == given.columns, name
+        out[name] = done.collect()
+        assert {(r["__hits"], r["__score"], r["__id"], r["__t1"]) for r in out[name]} <= {(3, 0.5, 2, "x")}, name
+        assert stage(spark, given.limit(0), sf).count() == 0, name
+    assert len(out["lines"]) == len(ROWS) and all(r.n_chars == len(r.text) for r in out["lines"])
+    assert sorted(r.doc_id for r in out["near_duplicates"] if r.doc_id is not None) == sorted(set(classes_of(TEXTS).values()))
+    assert len(out["leaks"]) == len(ROWS)
+    last = corpus_pipeline.STAGES[-1][1](spark, given, sf)
+    assert last.count() == len(ROWS) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(last.columns)
+
+
+def test_pipeline_against_plain_python(spark, sf):
+    """All stages one after another, each judged on its own input by a plain version (the classifier by its own scores)."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tessitura.llm.queries import vocabulary_path
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trees = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    score = dict(zip(rows, trees.score(quality.features(list(rows.values()))).tolist()))
+    rows = {i: t for i, t in rows.items() if score[i] >= quality.THRESHOLD}
+    key = lambda s: "".join(c.lower() if c < "\x80" else c for c in s.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in rows.items():
+        for line in t.split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    bad = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
+    rows = {i: "\n".join(x for x in t.split("\n") if bad.get(key(x), i) == i) for i, t in rows.items()}
+    keep = set(classes_of(rows).values())
+    rows = {i: t for i, t in rows.items() if i in keep}
+    items = [decontam.normal(r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index = decontam.Index.of([(n, x) for n, x in enumerate(items)])
+    hit = {i for i, h in zip(rows, index.search([decontam.normal(t) for t in rows.values()])) if h}
+    assert hit >= {i for i, t in rows.items() if any(len(x) >= decontam.Q and x in decontam.normal(t) for x in items)}
+    t = Tokenizer.from_file(vocabulary_path())
+    want = {i: sha(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) for i, x in rows.items() if i not in hit}
+    got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want
