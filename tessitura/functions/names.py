@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -47,3 +48,27 @@ def scale_key(c: Column) -> Column:
 
 def edit_budget(key: Column) -> Column:
     return F.when(F.length(key) >= 8, 2).otherwise(1)
+
+
+# Scales that go by two names, by the spelling that is looked up.
+SCALE_ALIASES = {
+    "todi": "Hanumatodi", "pantuvarali": "Kamavardhani", "kamavardhini": "Kamavardhani", "sankarabharanam": "Shankarabharanam", "dheerasankarabharanam": "Shankarabharanam",
+    "mechakalyani": "Kalyani", "shuddhasaveri": "Shuddha Saveri", "suddhasaveri": "Shuddha Saveri", "suddhadhanyasi": "Shuddha Dhanyasi", "udayaravichandrika": "Shuddha Dhanyasi",
+    "natai": "Nattai", "nata": "Nattai", "poorvikalyani": "Purvikalyani", "pantuvarali51": "Kamavardhani",
+}
+
+
+def plain_scale_key(name: str) -> str:
+    """``scale_key`` of a string, in the driver: for small tables of names."""
+    s = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower()
+    s = re.sub("[^a-z]", "", s)
+    for a, b in SCALE_NAMES:
+        s = s.replace(a, b)
+    return re.sub("(am|a|i|u|m)$", "", s)
+
+
+def resolved_key(c: Column, aliases: dict[str, str] = SCALE_ALIASES) -> Column:
+    """The matching key of a scale's name; that of its usual name where it is an alias."""
+    key = scale_key(c)
+    table = {plain_scale_key(a): plain_scale_key(b) for a, b in aliases.items()}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key], key)

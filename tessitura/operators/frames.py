@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.music import EQUAL, HOP_S, cents, fold_octave, half_up, kernel, nearest_position, pitch_class
+from tessitura.functions.music import EQUAL, HOP_S, JUST, cents, fold_octave, half_up, kernel, nearest_position, pitch_class
 
 
 def _clip() -> Window:
@@ -70,18 +72,23 @@ def smooth_histogram(hist: DataFrame, bin_cents: int = 5, sigma_cents: float = 1
     return hist.select("clip_id", "bin", "weight", spread.alias("s")).groupBy("clip_id", F.pmod(F.col("bin") + F.col("s.k"), F.lit(nb)).alias("bin")).agg(F.sum(F.col("weight") * F.col("s.w")).alias("weight"))
 
 
+def shift_table(spark: SparkSession, most: int = 150, bin_cents: int = 5, temperament: str = "et") -> DataFrame:
+    """(bin, pos, shift, w): what a bin's weight adds to the score of a shift by each of the twelve places. A fixed table."""
+    rows, nb = kernel(22 / bin_cents, 6), 1200 // bin_cents
+    table: dict[tuple[int, int, int], float] = {}
+    for p, at in enumerate(JUST if temperament == "ji" else EQUAL):
+        for s in range(-most, most + 1, bin_cents):
+            for k, w in rows:
+                b = (math.floor((at + s) / bin_cents + 0.5) + k) % nb
+                table[b, p, s] = table.get((b, p, s), 0.0) + w
+    return spark.createDataFrame([(b, p, s, w) for (b, p, s), w in sorted(table.items())], "bin long, pos int, shift int, w double")
+
+
 def tonic_offset(hist: DataFrame, positions: list[int], most: int = 150, bin_cents: int = 5) -> DataFrame:
-    """(clip_id, shift, score): the shift at which the scale's places meet most weight; the lowest on ties; 0 for clips without weight.
+    """(clip_id, shift, score): the shift at which the scale's places meet most weight; the lowest on ties; no row for clips without weight.
 
     Every bin adds to the few shifts that bring a place near it, so the work is bins x places x kernel, not bins x shifts."""
-    rows, nb = kernel(22 / bin_cents, 6), 1200 // bin_cents
-    shifts = range(-most, most + 1, bin_cents)
-    hits = [(s, (EQUAL[p] + s) // bin_cents + k, w) for s in shifts for p in positions for k, w in rows]
-    table: dict[tuple[int, int], float] = {}
-    for s, b, w in hits:
-        table[b % nb, s] = table.get((b % nb, s), 0.0) + w
-    spark = hist.sparkSession
-    dim = spark.createDataFrame([(b, s, w) for (b, s), w in sorted(table.items())], "bin long, shift int, w double")
+    dim = shift_table(hist.sparkSession, most, bin_cents).filter(F.col("pos").isin(positions)).groupBy("bin", "shift").agg(F.sum("w").alias("w"))
     scores = hist.join(F.broadcast(dim), "bin").groupBy("clip_id", "shift").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
     best = F.min_by(F.struct("shift", "score"), F.struct((-F.round("score", 9)).alias("s"), "shift"))
     return scores.groupBy("clip_id").agg(best.alias("b")).select("clip_id", "b.shift", "b.score")
@@ -106,17 +113,23 @@ def scale_matches(shares: DataFrame, scales: DataFrame, top: int = 5) -> DataFra
 
 def notes(df: DataFrame, positions: list[int], labels: list[str], min_dur: float = 0.0, hop_s: float = HOP_S) -> DataFrame:
     """Runs of voiced frames nearest to one place: clip_id, idx, first_i, n, start_s, end_s, dur, label, pos, oct, cents, mean_cents, sd, slide, deviation, conf."""
-    d = df.withColumn("__s", F.when(F.col("voiced"), nearest_position(F.col("cents"), positions, labels)))
-    state = F.coalesce(F.col("__s.cents"), F.lit(float("inf")))
-    d = d.withColumn("__state", state).withColumn("__new", F.coalesce((F.col("__state") != F.lag("__state").over(_order())).cast("int"), F.lit(1)))
-    d = d.withColumn("__run", F.sum("__new").over(_order())).filter(F.col("__s").isNotNull())
-    place = Window.partitionBy("clip_id", "__run").orderBy("i")
+    return notes_of_path(df.withColumn("state", F.when(F.col("voiced"), nearest_position(F.col("cents"), positions, labels))), min_dur, hop_s)
+
+
+def notes_of_path(d: DataFrame, min_dur: float = 0.0, hop_s: float = HOP_S) -> DataFrame:
+    """Runs of frames of one ``state`` (struct<cents,pos,label,oct>, null for silence), with statistics of those that have cents.
+
+    Runs without cents or shorter than ``min_dur`` are dropped; they don't join their neighbours."""
+    d = d.withColumn("__state", F.coalesce(F.col("state.cents"), F.lit(float("inf"))))
+    d = d.withColumn("__new", F.coalesce((F.col("__state") != F.lag("__state").over(_order())).cast("int"), F.lit(1)))
+    d = d.withColumn("__run", F.sum("__new").over(_order())).filter(F.col("state").isNotNull())
+    place = Window.partitionBy("clip_id", "__run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("clip_id", "__run")
-    d = d.withColumn("__k", F.row_number().over(place)).withColumn("__n", F.count("*").over(whole)).withColumn("__q", F.greatest(F.lit(1), F.floor(F.col("__n") / 4)))
+    d = d.withColumn("__k", F.count("cents").over(place)).withColumn("__n", F.count("cents").over(whole)).withColumn("__q", F.greatest(F.lit(1), F.floor(F.col("__n") / 4)))
     agg = d.groupBy("clip_id", "__run").agg(
-        F.min("i").alias("first_i"), F.count("*").alias("n"), F.first("__s.label").alias("label"), F.first("__s.pos").alias("pos"), F.first("__s.oct").alias("oct"), F.first("__s.cents").alias("cents"),
+        F.min("i").alias("first_i"), F.count("*").alias("n"), F.first("state.label").alias("label"), F.first("state.pos").alias("pos"), F.first("state.oct").alias("oct"), F.first("state.cents").alias("cents"),
         F.avg("cents").alias("mean_cents"), F.stddev_pop("cents").alias("sd"), F.median(F.when(F.col("__k") <= F.col("__q"), F.col("cents"))).alias("head"), F.median(F.when(F.col("__k") > F.col("__n") - F.col("__q"), F.col("cents"))).alias("tail"),
-    )
+    ).filter("mean_cents is not null")
     out = agg.select(
         "clip_id", "first_i", "n", (F.col("first_i") * hop_s).alias("start_s"), ((F.col("first_i") + F.col("n")) * hop_s).alias("end_s"), (F.col("n") * hop_s).alias("dur"), "label", "pos", "oct", "cents", "mean_cents", "sd",
         (F.col("tail") - F.col("head")).alias("slide"), (F.col("mean_cents") - F.col("cents")).alias("deviation"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sd") / 160)).alias("conf"),
@@ -140,12 +153,27 @@ def transit(n: DataFrame, most: float = 0.12, gap: float = 0.05, ratio: float =
     return d.withColumn("transit", F.coalesce((F.col("dur") < most - 1e-9) & way & near & longer, F.lit(False))).drop("__a", "__b")
 
 
-def note_frames(n: DataFrame, frames: DataFrame, hop_s: float = HOP_S) -> DataFrame:
-    """Frames with the label of the note over them (the later of two), by exploding notes to frames and an equality join."""
+def note_frames(n: DataFrame, frames: DataFrame, hop_s: float = HOP_S, value: str = "cents") -> DataFrame:
+    """Frames with the label and ``value`` of the note over them (the later of two), by exploding notes to frames and an equality join."""
     last = half_up(F.col("end_s") / hop_s) - 1
-    spans = n.select("clip_id", "idx", "label", "cents", half_up(F.col("start_s") / hop_s).alias("a"), last.alias("b")).filter("a <= b")
-    at = spans.select("clip_id", "idx", "label", "cents", F.explode(F.sequence("a", "b")).alias("i")).groupBy("clip_id", "i").agg(F.max_by(F.struct("label", "cents"), "idx").alias("note"))
-    return frames.join(at, ["clip_id", "i"], "left").select(*[frames[c] for c in frames.columns], F.col("note.label").alias("note_label"), F.col("note.cents").alias("note_cents"))
+    spans = n.select("clip_id", "idx", "label", value, half_up(F.col("start_s") / hop_s).alias("a"), last.alias("b")).filter("a <= b")
+    at = spans.select("clip_id", "idx", "label", value, F.explode(F.sequence("a", "b")).alias("i")).groupBy("clip_id", "i").agg(F.max_by(F.struct("label", value), "idx").alias("note"))
+    return frames.join(at, ["clip_id", "i"], "left").select(*[frames[c] for c in frames.columns], F.col("note.label").alias("note_label"), F.col(f"note.{value}").alias(f"note_{value}"))
+
+
+def agreement(j: DataFrame) -> DataFrame:
+    """(clip_id, scored, coverage, svara_accuracy, class_accuracy) of frames (gl, go, note_label, note_oct): label and octave, and label alone; 0 where nothing counts."""
+    n, same = F.count("note_label"), F.col("note_label") == F.col("gl")
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(F.coalesce(c, F.lit(False))), n), F.lit(0.0))
+    return j.groupBy("clip_id").agg(n.alias("scored"), (n / F.count("*")).alias("coverage"), share(same & (F.col("note_oct") == F.col("go"))).alias("svara_accuracy"), share(same).alias("class_accuracy"))
+
+
+def nearest_of(c: Column, positions: Column, labels: Column, temperament: str = "et", octaves: int = 3) -> Column:
+    """struct<label,oct> of the nearest place of a scale in columns; the first in order of octave and place on ties."""
+    table = F.array(*[F.lit(float(x)) for x in (JUST if temperament == "ji" else EQUAL)])
+    each = F.flatten(F.transform(F.array(*[F.lit(o) for o in range(-octaves, octaves + 1)]), lambda o: F.transform(positions, lambda p, k: F.struct(F.abs(c - o * 1200 - F.get(table, p)).alias("d"), o.alias("oct"), k.alias("k")))))
+    best = F.array_min(each)
+    return F.struct(F.get(labels, best["k"]).alias("label"), best["oct"].alias("oct"))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, on: str, value: str, floor_s: float = 0.005) -> DataFrame:
@@ -185,11 +213,16 @@ def best_lag(pairs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def fold_reference(df: DataFrame, tonic: float, ceiling: float = 1900.0, rate: float = 0.1) -> DataFrame:
-    """gt halved until at most ``ceiling`` cents over the tonic, in records where more than ``rate`` of the voiced frames are above."""
-    top = tonic * 2 ** (ceiling / 1200)
-    high = F.sum((F.col("gt") > top).cast("int")).over(_clip()) / F.sum((F.col("gt") > 0).cast("int")).over(_clip())
-    d = df.withColumn("high_rate", F.coalesce(F.when(F.sum((F.col("gt") > 0).cast("int")).over(_clip()) > 0, high), F.lit(0.0)))
-    fold = (F.col("high_rate") > rate) & (F.col("gt") > top)
+    """As ``fold_references`` with one tonic for all, and no gate."""
+    return fold_references(df.withColumn("tonic_hz", F.lit(tonic)), F.lit(True), ceiling, rate).drop("tonic_hz")
+
+
+def fold_references(df: DataFrame, on: Column, ceiling: float = 1900.0, rate: float = 0.1) -> DataFrame:
+    """gt halved until at most ``ceiling`` cents over tonic_hz, in clips that are ``on`` and where more than ``rate`` of the voiced frames are above."""
+    top = F.col("tonic_hz") * 2 ** (ceiling / 1200)
+    sung = F.sum((F.col("gt") > 0).cast("int")).over(_clip())
+    d = df.withColumn("high_rate", F.coalesce(F.try_divide(F.sum((F.col("gt") > top).cast("int")).over(_clip()), sung), F.lit(0.0)))
+    fold = on & (F.col("high_rate") > rate) & (F.col("gt") > top)
     return d.withColumn("folded", F.when(fold, F.col("gt") / F.pow(F.lit(2.0), F.ceil(F.log2(F.col("gt") / top)))).otherwise(F.col("gt")))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.music import EQUAL, FMAX, FMIN, HOP, WINDOW
+from tessitura.functions.music import EQUAL, FMAX, FMIN, HOP, JUST, WINDOW
 
 
 def yin(x: np.ndarray, rate: int, window: int = WINDOW, hop: int = HOP, fmin: float = FMIN, fmax: float = FMAX, threshold: float = 0.15, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +91,19 @@ def repair_octaves(df: DataFrame) -> DataFrame:
     return df.select("clip_id", "i", "cents", "voiced").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, repaired double")
 
 
+def repaired(df: DataFrame) -> DataFrame:
+    """(clip_id, i, cents, voiced, conf) with octaves repaired in the cents of voiced frames; the others stay."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        voiced, c = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float)
+        return pdf.assign(cents=pd.array(np.where(voiced, repair(np.nan_to_num(c), voiced), c), "Float64"))
+
+    return df.select("clip_id", "i", "cents", "voiced", "conf").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, cents double, voiced boolean, conf double")
+
+
 def viterbi(cents: np.ndarray, voiced: np.ndarray, conf: np.ndarray, states: np.ndarray, sigma: float = 55.0, switch: float = 5.0, silence: float = 6.0, up: np.ndarray | None = None, down: np.ndarray | None = None, slope: np.ndarray | None = None, occupancy: float = 2.2, direction: float | None = None) -> np.ndarray:
+    # The weights of confidence (0.35, 0.65), the slope from which a glide counts (4 cents a frame) and the cost of silence (1.5 switches).
     """State of each frame, -1 for silence. states: cents, ascending. up, down: whether a state may be entered rising or falling (the tonic always may).
 
     Staying is free; a switch costs ``switch``, to or from silence half as much again; on ties staying wins, then the lowest state."""
@@ -140,6 +152,32 @@ def viterbi_decode(df: DataFrame, positions: list[int], labels: list[str], **how
     return df.select("clip_id", "i", "cents", "voiced", "conf").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, label string, oct int")
 
 
+def decode_clips(contour: DataFrame, clips: DataFrame, cfg) -> DataFrame:
+    """(clip_id, i, state): the cheapest path of each clip of (clip_id, i, cents, voiced, conf, slope) through its own scale.
+
+    clips: (clip_id, positions, labels, up, down, applied). The places within 150 cents of the clip's range, all moved by the applied shift, are the states;
+    with the grammar on, a place may be entered rising if its label is in ``up`` and falling if in ``down``, the tonic always. state: struct<cents,pos,label,
+    oct>, null for silence."""
+    table = JUST if cfg.temperament == "ji" else EQUAL
+
+    def run(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(own):
+            return pd.DataFrame({"clip_id": [], "i": [], "state": []})
+        pdf, clip = pdf.sort_values("i"), own.iloc[0]
+        voiced, cents, shift = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float), float(clip["applied"])
+        low, high = (cents[voiced].min(), cents[voiced].max()) if voiced.any() else (-1200.0, 1200.0)
+        every = [(o * 1200 + table[p] + shift, int(p), s, o) for o in range(-3, 4) for p, s in zip(clip["positions"], clip["labels"])]
+        states = sorted((t for t in every if low - 150 <= t[0] <= high + 150), key=lambda t: t[0])
+        up, down = (np.array([t[2] == "S" or t[2] in set(clip[c]) for t in states], bool) if cfg.grammar else None for c in ("up", "down"))
+        path = viterbi(cents, voiced, pdf["conf"].to_numpy(float), np.array([t[0] for t in states], float), cfg.sigma, cfg.switch, cfg.silence_penalty, up, down, np.nan_to_num(pdf["slope"].to_numpy(float)), cfg.occupancy, cfg.direction)
+        named = [dict(zip(("cents", "pos", "label", "oct"), t)) for t in states]
+        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy(), "i": pdf["i"].to_numpy(), "state": [named[k] if k >= 0 else None for k in path]})
+
+    left = contour.select("clip_id", "i", "cents", "voiced", "conf", "slope").groupBy("clip_id")
+    right = clips.select("clip_id", "positions", "labels", "up", "down", "applied").groupBy("clip_id")
+    return left.cogroup(right).applyInPandas(run, "clip_id long, i long, state struct<cents:double,pos:int,label:string,oct:int>")
+
+
 def align(a: list, b: list, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> list[tuple[int, int]]:
     """Global alignment: pairs of places, -1 for a gap. Pairs win ties, then gaps in b."""
     n, m = len(a), len(b)

@@ -197,12 +197,9 @@ def nearest_svara(spark, sf_dir):
   j as (select e.*, p.label as gl, p.sc as gc from e join placed p using (clip_id, i))
   select clip_id, count(*) as frames, round(count(l)::double / count(*), 6) as coverage, round(coalesce(count(*) filter (l = gl and c = gc)::double / nullif(count(l), 0), 0), 6) as svara_accuracy, round(coalesce(count(*) filter (l = gl)::double / nullif(count(l), 0), 0), 6) as class_accuracy from j group by 1""")
 def svara_agreement(spark, sf_dir):
-    truth = fr.with_cents(frames(spark, sf_dir), TONIC).withColumn("s", music.nearest_position(F.col("cents"), PLACES, LABELS)).select("clip_id", "i", F.col("s.label").alias("gl"), F.col("s.cents").alias("gc"))
-    j = fr.note_frames(decoded(spark, sf_dir), truth)
-    n = F.count("note_label")
-    share = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(F.coalesce(c, F.lit(False))), n), F.lit(0.0)), 6)
-    same = F.col("note_label") == F.col("gl")
-    return j.groupBy("clip_id").agg(F.count("*").alias("frames"), F.round(n / F.count("*"), 6).alias("coverage"), share(same & (F.col("note_cents") == F.col("gc"))).alias("svara_accuracy"), share(same).alias("class_accuracy"))
+    truth = fr.with_cents(frames(spark, sf_dir), TONIC).withColumn("s", music.nearest_position(F.col("cents"), PLACES, LABELS)).select("clip_id", "i", F.col("s.label").alias("gl"), F.col("s.oct").alias("go"))
+    j = fr.note_frames(decoded(spark, sf_dir), truth, value="oct")
+    return fr.agreement(j).join(j.groupBy("clip_id").agg(F.count("*").alias("frames")), "clip_id").select("clip_id", "frames", *[F.round(c, 6).alias(c) for c in ("coverage", "svara_accuracy", "class_accuracy")])
 
 
 _SCORES = ["voicing_recall", "false_alarm", "raw_pitch", "raw_chroma", "overall", "octave_errors"]
@@ -483,11 +480,6 @@ def yin_track(spark, sf_dir):
     return f.select(F.col("clip_id").cast("int").alias("n_nationkey"), music.half_up(12 * F.log2(F.col("f0") / 110)).cast("int").alias("semitone"), "frames")
 
 
-@query()
-def repair_octaves(spark, sf_dir):
-    return kernels.repair_octaves(fr.contour(frames(spark, sf_dir), TONIC)).withColumn("repaired", F.round("repaired", 6))
-
-
 @query()
 def viterbi_decode(spark, sf_dir):
     return kernels.viterbi_decode(fr.contour(frames(spark, sf_dir), TONIC), PLACES, LABELS)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessitura.operators.staging import shared_folder
+
 
 def _drained(spark: SparkSession, out: DataFrame) -> DataFrame:
-    """Runs a stream over what is there and reads what it wrote, under the session's shared folder (a temporary one where it names none)."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    """Runs a stream over what is there and reads what it wrote, under the session's shared folder."""
+    root = shared_folder(spark, "stream")
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
