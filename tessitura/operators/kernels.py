@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.music import EQUAL, FMAX, FMIN, HOP, JUST, WINDOW
@@ -66,16 +66,19 @@ def yin_track(clips: DataFrame) -> DataFrame:
 def repair(cents: np.ndarray, voiced: np.ndarray, half: int = 8, band: float = 260.0, passes: int = 2) -> np.ndarray:
     """Frames about an octave off the median of their voiced neighbours (four at least) are folded to it; from left to right, fixes seen by what follows."""
     c = cents.astype(float).copy()
+    at = np.flatnonzero(voiced)
+    first, last = np.searchsorted(at, at - half), np.searchsorted(at, at + half, "right")
     for _ in range(passes):
-        for i in np.flatnonzero(voiced):
-            a, b = max(0, i - half), min(len(c), i + half + 1)
-            near = np.concatenate([c[a:i][voiced[a:i]], c[i + 1 : b][voiced[i + 1 : b]]])
-            if len(near) >= 4:
-                off = c[i] - np.median(near)
-                if abs(off - 1200) < band:
-                    c[i] -= 1200
-                elif abs(off + 1200) < band:
-                    c[i] += 1200
+        v = c[at]
+        for k in np.flatnonzero(last - first >= 5).tolist():
+            near = sorted([*v[first[k] : k].tolist(), *v[k + 1 : last[k]].tolist()])
+            n = len(near)
+            off = v[k] - (near[n // 2] if n % 2 else (near[n // 2 - 1] + near[n // 2]) / 2)
+            if abs(off - 1200) < band:
+                v[k] -= 1200
+            elif abs(off + 1200) < band:
+                v[k] += 1200
+        c[at] = v
     return c
 
 
@@ -162,7 +165,7 @@ def decode_clips(contour: DataFrame, clips: DataFrame, cfg) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(own):
-            return pd.DataFrame({"clip_id": [], "i": [], "state": []})
+            return pd.DataFrame({"clip_id": pd.Series(dtype="int64"), "i": pd.Series(dtype="int64"), "state": pd.Series(dtype=object)})
         pdf, clip = pdf.sort_values("i"), own.iloc[0]
         voiced, cents, shift = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float), float(clip["applied"])
         low, high = (cents[voiced].min(), cents[voiced].max()) if voiced.any() else (-1200.0, 1200.0)
@@ -171,7 +174,7 @@ def decode_clips(contour: DataFrame, clips: DataFrame, cfg) -> DataFrame:
         up, down = (np.array([t[2] == "S" or t[2] in set(clip[c]) for t in states], bool) if cfg.grammar else None for c in ("up", "down"))
         path = viterbi(cents, voiced, pdf["conf"].to_numpy(float), np.array([t[0] for t in states], float), cfg.sigma, cfg.switch, cfg.silence_penalty, up, down, np.nan_to_num(pdf["slope"].to_numpy(float)), cfg.occupancy, cfg.direction)
         named = [dict(zip(("cents", "pos", "label", "oct"), t)) for t in states]
-        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy(), "i": pdf["i"].to_numpy(), "state": [named[k] if k >= 0 else None for k in path]})
+        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy(), "i": pdf["i"].to_numpy(), "state": pd.Series([named[k] if k >= 0 else None for k in path], dtype=object)})
 
     left = contour.select("clip_id", "i", "cents", "voiced", "conf", "slope").groupBy("clip_id")
     right = clips.select("clip_id", "positions", "labels", "up", "down", "applied").groupBy("clip_id")
@@ -183,9 +186,12 @@ def align(a: list, b: list, match: float = 2.0, mismatch: float = -1.0, gap: flo
     n, m = len(a), len(b)
     s = np.zeros((n + 1, m + 1))
     s[:, 0], s[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
+    codes = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    own, steps = np.array([codes[x] for x in b], np.int64), gap * np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            s[i, j] = max(s[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), s[i - 1, j] + gap, s[i, j - 1] + gap)
+        # A row at a time: pairs and gaps in b first; gaps in a then run along it.
+        best = np.maximum(s[i - 1, :-1] + np.where(own == codes[a[i - 1]], match, mismatch), s[i - 1, 1:] + gap)
+        s[i] = np.maximum.accumulate(np.append(s[i, 0], best) - steps) + steps
     out, i, j = [], n, m
     while i or j:
         if i and j and s[i, j] == s[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
@@ -215,26 +221,73 @@ def align_sequences(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "a", "b").mapInPandas(run, "id long, n long, matches long, gaps long")
 
 
-def resolve_octaves(places: list[int], pins: list[int | None], stray: float = 0.25) -> list[int]:
-    """Octaves -1, 0 or 1 with the least sum of intervals and of strays from the middle octave; pinned where marked; the lower cost, then the lower octave wins."""
-    best: dict[int, tuple[float, list[int]]] = {}
-    for k, (p, pin) in enumerate(zip(places, pins)):
-        now = {}
-        for o in (-1, 0, 1) if pin is None else (pin,):
-            here = stray * abs(o)
-            if not k:
-                now[o] = (here, [o])
-            else:
-                now[o] = min(((c + here + abs(p + 12 * o - places[k - 1] - 12 * q), path + [o]) for q, (c, path) in best.items()), key=lambda x: (x[0], x[1][-2]))
-        best = now
-    return min(best.values(), key=lambda x: (x[0], x[1][-1]))[1] if best else []
+def octave_path(zipped: str, stray: float = 0.25) -> Column:
+    """Of an array of struct<p,pin>: octaves -1, 0 or 1 with the least sum of intervals and of strays from the middle octave; pinned where marked; the lower cost, then the lower octave wins.
+
+    Three states, so a fold over the array does it: the state is the last place, and for each octave the cheapest cost and its path. Null pins are open;
+    a pin beyond the three octaves pins nothing else than itself, so such rows have no path. Sections are short; paths are copied at each step."""
+    state = "named_struct('p', 0, 'n', 0, 'c', array(0D, 0D, 0D), 'w', cast(array(array(), array(), array()) as array<array<int>>))"
+    best = f"""transform(array(-1, 0, 1), o -> if(x.pin is not null and x.pin <> o, named_struct('cost', 1e300D, 'q', 0), if(a.n = 0, named_struct('cost', {stray} * abs(o), 'q', 0),
+        array_min(transform(array(-1, 0, 1), q -> named_struct('cost', cast(a.c[q + 1] + {stray} * abs(o) + abs(x.p + 12 * o - a.p - 12 * q) as double), 'q', q))))))"""
+    step = f"""(a, x) -> transform(array({best}), b -> named_struct('p', x.p, 'n', a.n + 1, 'c', transform(b, s -> s.cost), 'w', transform(array(0, 1, 2), k -> array_append(if(a.n = 0, cast(array() as array<int>), a.w[b[k].q + 1]), k - 1))))[0]"""
+    finish = "a -> if(a.n = 0, cast(array() as array<int>), a.w[array_min(transform(array(0, 1, 2), k -> named_struct('c', a.c[k], 'k', k))).k])"
+    return F.expr(f"aggregate({zipped}, {state}, {step}, {finish})")
 
 
 def octave_resolver(rows: DataFrame) -> DataFrame:
     """(id, octaves) of rows (id, places array<int>, pins array<int>)."""
+    zipped = F.transform(F.arrays_zip(F.col("places"), F.col("pins")), lambda z: F.struct(z["places"].cast("int").alias("p"), z["pins"].cast("int").alias("pin")))
+    return rows.select("id", zipped.alias("__x")).select("id", octave_path("__x").alias("octaves"))
+
+
+def verify_octaves(rows: DataFrame) -> DataFrame:
+    """(id, marked, missed, blind): of the marks (pins) of each row how many are not found again when each alone is hidden, and how many places differ when all are."""
+    open_pins = F.transform("places", lambda p: F.lit(None).cast("int"))
+    hide = F.filter(F.transform("pins", lambda p, k: F.when(p.isNotNull(), k)), lambda k: k.isNotNull())
+    hidden = rows.select("id", "places", "pins", F.explode(hide).alias("k")).select(F.struct("id", "k").alias("id"), "places", F.transform("pins", lambda p, j: F.when(j != F.col("k"), p)).alias("pins"))
+    whole = octave_resolver(rows).withColumnRenamed("octaves", "truth")
+    blind = octave_resolver(rows.select("id", "places", open_pins.alias("pins")))
+    one = octave_resolver(hidden).select(F.col("id.id").alias("id"), F.col("id.k").alias("k"), "octaves").join(whole, "id")
+    missed = one.groupBy("id").agg(F.count("*").alias("marked"), F.count_if(F.get("octaves", F.col("k")) != F.get("truth", F.col("k"))).alias("missed"))
+    wrong = whole.join(blind, "id").select("id", F.size(F.filter(F.zip_with("truth", "octaves", lambda x, y: x != y), lambda d: d)).alias("blind"))
+    return missed.join(wrong, "id").select("id", "marked", "missed", "blind")
+
 
-    @F.pandas_udf("array<int>")
-    def solve(places: pd.Series, pins: pd.Series) -> pd.Series:
-        return pd.Series([resolve_octaves([int(x) for x in p], [None if x is None or x != x else int(x) for x in q]) for p, q in zip(places, pins)])
+def resample(x: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
+    """Linear interpolation at the new rate, without a filter; floor(n / ratio) samples."""
+    ratio = rate_in / rate_out
+    m = int(len(x) // ratio)
+    return np.interp(np.arange(m) * ratio, np.arange(len(x)), x) if m else np.zeros(0)
 
-    return rows.select("id", solve("places", "pins").alias("octaves"))
+
+def mixdown_resample(clips: DataFrame, rate_out: int) -> DataFrame:
+    """(clip_id, sr, pcm) of clips (clip_id, sr, channels: array<array<double>>): the mean of the channels at the new rate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pcm = [resample(np.mean([np.asarray(c, float) for c in channels], 0), int(sr), rate_out) if channels is not None and len(channels) else np.zeros(0) for channels, sr in zip(batch["channels"], batch["sr"])]
+            yield pd.DataFrame({"clip_id": batch["clip_id"], "sr": rate_out, "pcm": pcm})
+
+    return clips.select("clip_id", "sr", "channels").mapInPandas(run, "clip_id long, sr int, pcm array<double>")
+
+
+def clean_slips(df: DataFrame, half: int = 8, band: float = 260.0) -> DataFrame:
+    """Adds ``clean`` to (clip_id, i, cents, voiced): after the fact, frames one or two octaves off the median of their voiced neighbours on both sides (four at
+    least) moved to it; all judged on the input."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        voiced, c = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float)
+        held = np.where(voiced, c, np.nan)
+        padded = np.concatenate([np.full(half, np.nan), held, np.full(half, np.nan)])
+        near = np.delete(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), half, 1) if len(c) else np.zeros((0, 2 * half))
+        count = np.isfinite(near).sum(1)
+        middle = np.full(len(c), np.nan)
+        on = voiced & (count >= 4)
+        middle[on] = np.nanmedian(near[on], 1)
+        off = np.nan_to_num(held - middle)
+        steps = np.floor(np.abs(off) / 1200 + 0.5)
+        slip = on & (steps >= 1) & (steps <= 2) & (np.abs(np.abs(off) - 1200 * steps) < band)
+        return pd.DataFrame({"clip_id": pdf["clip_id"], "i": pdf["i"], "clean": np.where(slip, held - np.sign(off) * 1200 * steps, held)})
+
+    return df.select("clip_id", "i", "cents", "voiced").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, clean double")

@@ -101,11 +101,18 @@ def fuzzy_rank(queries: DataFrame, names: DataFrame) -> DataFrame:
     n = names.select("ord", "name", scale_key(F.col("name")).alias("nkey")).filter("nkey <> ''")
     exact = q.join(n, q.key == n.nkey).groupBy("q").agg(F.min(F.struct(F.lit(0).alias("d"), "ord", "name")).alias("m"))
     rest = q.join(exact, "q", "left_anti")
-    size = F.length("key")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("budget")), lambda k: F.struct(F.floor(size * k / (F.col("budget") + 1)).alias("at"), F.floor(size * (k + 1) / (F.col("budget") + 1)).alias("to")))
-    rest = rest.withColumn("__p", F.explode(pieces)).select("q", "key", "budget", F.substr("key", (F.col("__p.at") + 1).cast("int"), (F.col("__p.to") - F.col("__p.at")).cast("int")).alias("piece")).filter("piece <> ''")
-    grams = n.withColumn("__l", F.explode(F.sequence(F.lit(1), F.length("nkey")))).select("ord", "name", "nkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("nkey") - F.col("__l") + 1), lambda s: F.substr("nkey", s, F.col("__l")))).alias("piece")).distinct()
-    near = rest.join(grams, "piece").select("q", "key", "budget", "ord", "name", "nkey").distinct().filter(F.abs(F.length("key") - F.length("nkey")) <= F.col("budget"))
+    size, b = F.length("key"), F.col("budget")
+    pieces = F.transform(F.sequence(F.lit(0), b), lambda k: F.struct(F.floor(size * k / (b + 1)).alias("at"), F.floor(size * (k + 1) / (b + 1)).alias("to")))
+    # A piece that survives stands in a name of nearly the same length at nearly the same place: both are keys of the join.
+    moved = F.sequence(-b, b)
+    rest = rest.withColumn("p", F.explode(pieces)).withColumn("piece", F.substr("key", (F.col("p.at") + 1).cast("int"), (F.col("p.to") - F.col("p.at")).cast("int"))).filter("piece <> ''")
+    rest = rest.withColumn("longer", F.explode(moved)).withColumn("shift", F.explode(moved)).select("q", "key", "budget", "piece", (size + F.col("longer")).alias("length"), (F.col("p.at") + 1 + F.col("shift")).cast("int").alias("start"))
+    own = F.length("nkey")
+    parts = lambda m: F.when(m >= 8, 3).otherwise(2)
+    sizes = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), own - 2), own + 2), lambda m: F.array(F.floor(m / parts(m)), F.ceil(m / parts(m))))))
+    grams = n.withColumn("l", F.explode(F.filter(sizes, lambda x: (x > 0) & (x <= own)))).withColumn("start", F.explode(F.sequence(F.lit(1), (own - F.col("l") + 1).cast("int"))))
+    grams = grams.select("ord", "name", "nkey", F.substr("nkey", F.col("start"), F.col("l").cast("int")).alias("piece"), own.alias("length"), "start")
+    near = rest.join(grams, ["piece", "length", "start"]).select("q", "key", "budget", "ord", "name", "nkey").distinct()
     near = near.withColumn("d", F.levenshtein("key", "nkey")).filter(F.col("d") <= F.col("budget")).groupBy("q").agg(F.min(F.struct("d", "ord", "name")).alias("m"))
     found = exact.unionByName(near)
     return queries.join(found, "q", "left").withColumn("match", F.col("m.name")).withColumn("distance", F.col("m.d")).drop("m")

@@ -491,13 +491,6 @@ def align_sequences(spark, sf_dir):
     return kernels.align_sequences(f.select(F.col("clip_id").alias("id"), "a").join(f.select((F.col("clip_id") - 1).alias("id"), F.col("a").alias("b")), "id"))
 
 
-@query()
-def octave_resolver(spark, sf_dir):
-    s = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_quantity") % 12).cast("int").alias("p"), F.when(F.col("l_partkey") % 5 == 0, (F.col("l_partkey") % 3 - 1).cast("int")).alias("pin"))))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(s.alias("s"))
-    return kernels.octave_resolver(rows.select("id", F.transform("s", lambda x: x["p"]).alias("places"), F.transform("s", lambda x: x["pin"]).alias("pins")))
-
-
 @query()
 def coordinate_descent(spark, sf_dir):
     """The voicing thresholds tuned on even frames by overall accuracy, and how the held-out half does."""
@@ -550,13 +543,6 @@ def staged_load(spark, sf_dir):
     return lib.staged_load(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_partkey", ["k", "p_brand"])
 
 
-@query("""with n as (select conv_id, turn, length(text) as n_chars, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) as words from conversations) select conv_id, count(*) as turns, bool_and(words >= 1) as ok from n group by 1""")
-def syllable_check(spark, sf_dir):
-    """Whether every section of a piece has something in it."""
-    words = F.size(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.bool_and(words >= 1).alias("ok"))
-
-
 @query(f"""with {NOTES}, r as (select *, row_number() over (partition by clip_id order by idx) - 1 as rn from notes), c as (select clip_id, rn // 8 as row_no, string_agg(label || case when oct > 0 then repeat('''', oct) when oct < 0 then repeat('.', -oct) else '' end, ' ' order by rn) as line from r group by all)
   select clip_id, row_no, line from c""")
 def notation_text(spark, sf_dir):

@@ -71,3 +71,9 @@ def stabilised(frames: DataFrame) -> DataFrame:
         yield pd.DataFrame({"clip_id": key[0], "t_s": rows["t_s"].to_numpy(), "cents": out})
 
     return frames.groupBy("clip_id").applyInPandasWithState(run, "clip_id long, t_s double, cents double", "held double, since double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of frames in cents, stabilised. All files are one batch here, so each clip's frames come in order."""
+    cents = read_events(spark, sf_dir).select(F.col("user_id").cast("long").alias("clip_id"), (F.col("ts").cast("double") - 1.7e9).alias("t_s"), (1200 * F.log2(F.greatest("value", F.lit(0.01)) / 55)).alias("cents"))
+    return _drained(spark, stabilised(cents))

@@ -204,16 +204,21 @@ def test_align_and_octaves():
     assert kernels.align(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
     assert kernels.align(list("abc"), list("ac")) == [(0, 0), (1, -1), (2, 1)]
     assert kernels.align([], list("a")) == [(-1, 0)]
+
+
+def test_octave_paths(spark):
     from itertools import product
 
-    r = random.Random(2)
-    for _ in range(40):
+    r, rows = random.Random(2), []
+    for k in range(40):
         p = [r.randrange(12) for _ in range(r.randrange(1, 6))]
-        pins = [r.choice([None, None, -1, 0, 1]) for _ in p]
-        cost = lambda o: sum(0.25 * abs(x) for x in o) + sum(abs(p[k] + 12 * o[k] - p[k - 1] - 12 * o[k - 1]) for k in range(1, len(p)))
+        rows.append((k, p, [r.choice([None, None, -1, 0, 1]) for _ in p]))
+    rows.append((99, [], []))
+    got = {x.id: x.octaves for x in kernels.octave_resolver(spark.createDataFrame(rows, "id int, places array<int>, pins array<int>")).collect()}
+    for k, p, pins in rows:
+        cost = lambda o: sum(0.25 * abs(x) for x in o) + sum(abs(p[i] + 12 * o[i] - p[i - 1] - 12 * o[i - 1]) for i in range(1, len(p)))  # noqa: B023, E731
         best = min(cost(o) for o in product((-1, 0, 1), repeat=len(p)) if all(q is None or q == x for q, x in zip(pins, o)))
-        got = kernels.resolve_octaves(p, pins)
-        assert cost(got) == best and all(q is None or q == x for q, x in zip(pins, got))
+        assert len(got[k]) == len(p) and cost(got[k]) == best and all(q is None or q == x for q, x in zip(pins, got[k]))
 
 
 def test_sources(spark, tmp_path):
