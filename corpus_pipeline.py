@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import bpe, decontam, line_dedup, near_dup, quality
-from tessitura.llm.common import table
+from tessitura.llm.common import shared_folder, table
 from tessitura.llm.queries import vocabulary_path
 
 
@@ -56,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet under spark.checkpoint.dir (a temporary folder where that is unset) and read again."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each is written as Parquet into the shared folder that spark.checkpoint.dir names and read again."""
+    root = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{root}/{k}-{name}"
