@@ -303,8 +303,8 @@ OUTPUT = 1 << 22
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """One row for each input row: id, n_tokens, ids_sha256, decoded_sha256 and, as asked for, ids (array<int>) and decoded.
 
-    ``path``: a vocabulary file that the driver can read. Null and empty texts have no tokens; rows with null or repeated ids stay; an empty table
-    gives an empty table; other columns are not read."""
+    ``path``: a vocabulary file that the driver can read. Null and empty texts have no tokens; very long texts go in parts that no word crosses; rows with
+    null or repeated ids stay; an empty table gives an empty table; other columns are not read."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,4 +321,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_decoded
     extra = ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).mapInPandas(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    # Ids travel as text: beside nulls, pandas would make floats of them.
+    given = docs.select(F.col(id_col).cast("long").cast("string").alias("__id"), whole_text(text_col).alias("__text"))
+    done = given.mapInPandas(run, f"{id_col} string, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return done.withColumn(id_col, F.col(id_col).cast("long"))

@@ -59,9 +59,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter."""
+def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
+    """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter.
+
+    What was shuffled on the way isn't read again. Spark removes it once the driver has forgotten it, so with ``forget`` the driver is told to collect its
+    garbage; else the files of all steps of a long job would stay on the executors' disks until its heap happened to fill."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if forget:
+        context._jvm.System.gc()
+    return out

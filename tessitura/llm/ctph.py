@@ -21,6 +21,8 @@ WINDOW, MOST, SHARED = 7, 64, 7
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 BLOCK = 1 << 20
 LOWEST = -(2**63)
+#: Rows of one id from which on they are dealt out to several ranges.
+CROWD = 1000
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -156,25 +158,31 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Rows dealt out by ranges of descending id, each range followed by a copy (``__ghost``) of the row after it (after the last
     range: the first row of all), sorted; every row's successor stands right below it in the same partition.
 
-    The range bounds are as many as the shuffle partitions, so what reaches the driver doesn't grow with the data. A null id comes last;
-    rows of one id are ordered by a hash of their texts."""
+    The ranges are about as many as the shuffle partitions, so what reaches the driver doesn't grow with the data. A null id comes last;
+    rows of one id are ordered by a hash of their texts, and an id (or the lack of one) that many rows share is cut into ranges of that hash."""
     spark: SparkSession = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    base = docs.select(order.alias("__o"), F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"))
-    bounds = base.agg(F.percentile_approx("__o", [i / n for i in range(1, n)] or [0.5], 10000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > F.col("__o"))) if bounds else F.lit(0)
-    heads = sorted((r["k"], r["o"]) for r in base.groupBy(bucket.alias("k")).agg(F.max("__o").alias("o")).collect())
+    # The complement turns the order round without overflow: ids descend as it ascends.
+    order = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
+    base = docs.select(order.alias("__o"), F.xxhash64(whole_text(text_col)).alias("__h"), F.col(id_col).cast("long").cast("string").alias("__id"), whole_text(text_col).alias("__text"))
+    found = base.agg(F.count("*").alias("n"), F.percentile_approx("__o", [i / n for i in range(1, n)] or [0.5], 10000).alias("b")).first()
+    share = max(1, -(-found["n"] // n))
+    # Ids that fill more than a range by themselves: n at most.
+    crowded = {r["__o"]: -(-r["count"] // share) for r in base.groupBy("__o").count().filter(F.col("count") > max(share, CROWD)).collect()}
+    cuts = {(b, LOWEST) for b in found["b"] or []} | {(o, LOWEST) for o in crowded} | {(o, LOWEST + 2**64 // k * j) for o, k in crowded.items() for j in range(1, k)} | {(o + 1, LOWEST) for o in crowded if o < -LOWEST - 1}
+    key = F.struct(F.col("__o").alias("o"), F.col("__h").alias("h"))
+    bucket = F.size(F.filter(F.array(*[F.struct(F.lit(o).cast("long").alias("o"), F.lit(h).cast("long").alias("h")) for o, h in sorted(cuts)]), lambda c: c <= key)) if cuts else F.lit(0)
+    heads = sorted((r["k"], (r["m"]["o"], r["m"]["h"])) for r in base.groupBy(bucket.alias("k")).agg(F.min(key).alias("m")).collect())
     placed = base.withColumn("__k", bucket)
     if not heads:
         return placed.withColumn("__ghost", F.lit(False))
     # The head of each range also follows the range before it; the first head follows the last range.
-    before = {o: heads[i - 1][0] for i, (_, o) in enumerate(heads)}
-    copies = F.when(F.col("__o").isin(list(before)), F.array(F.struct(F.col("__k").alias("k"), F.lit(False).alias("g")), F.struct(F.element_at(F.create_map(*[F.lit(x) for o, k in before.items() for x in (o, k)]), F.col("__o")).alias("k"), F.lit(True).alias("g"))))
-    spread = placed.withColumn("__c", F.explode(F.coalesce(copies, F.array(F.struct(F.col("__k").alias("k"), F.lit(False).alias("g"))))))
-    rows = spread.select("__o", "__id", "__text", F.col("__c.k").alias("__k"), F.col("__c.g").alias("__ghost"))
-    return rows.repartitionById(max(k for k, _ in heads) + 1, F.col("__k")).sortWithinPartitions("__k", "__ghost", F.desc("__o"), F.xxhash64("__text"))
+    own = F.struct(F.col("__k").alias("k"), F.lit(False).alias("g"))
+    head = F.create_map(*[x for i, (k, (o, h)) in enumerate(heads) for x in (F.lit(k), F.struct(F.lit(o).cast("long").alias("o"), F.lit(h).cast("long").alias("h"), F.lit(heads[i - 1][0]).alias("before")))])[F.col("__k")]
+    is_head = (head["o"] == F.col("__o")) & (head["h"] == F.col("__h"))
+    spread = placed.withColumn("__c", F.explode(F.when(is_head, F.array(own, F.struct(head["before"].alias("k"), F.lit(True).alias("g")))).otherwise(F.array(own))))
+    rows = spread.select("__o", "__h", "__id", "__text", F.col("__c.k").alias("__k"), F.col("__c.g").alias("__ghost"))
+    return rows.repartitionById(max(k for k, _ in heads) + 1, F.col("__k")).sortWithinPartitions("__k", "__ghost", "__o", "__h")
 
 
 def edited(text: str, following: str) -> str:
@@ -186,8 +194,9 @@ def edited(text: str, following: str) -> str:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they and the next document's are.
 
-    Columns: id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as empty; a lone row is its own
-    successor; repeated rows stay; an empty table gives an empty table."""
+    Columns: id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as empty; very long texts are read whole,
+    in blocks; a lone row is its own successor; repeated rows stay; rows of one id, or without, follow one another in order of a hash; an empty table gives
+    an empty table; other columns aren't read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
@@ -201,6 +210,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 held = row
             if out:
                 ids, n, texts, f, e, after = map(list, zip(*out))
-                yield pd.DataFrame({id_col: pd.array(ids, dtype="Int64"), "n_chars": n, "edited_text": texts, "fingerprint": f, "edited_fingerprint": e, "near_edited": likeness(f, e), "near_next": likeness(f, after)})
+                yield pd.DataFrame({id_col: ids, "n_chars": n, "edited_text": texts, "fingerprint": f, "edited_fingerprint": e, "near_edited": likeness(f, e), "near_next": likeness(f, after)})
 
-    return with_next(docs, id_col, text_col).mapInPandas(run, f"{id_col} long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # Ids travel as text: beside nulls, pandas would make floats of them.
+    done = with_next(docs, id_col, text_col).mapInPandas(run, f"{id_col} string, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return done.withColumn(id_col, F.col(id_col).cast("long"))

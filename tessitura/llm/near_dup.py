@@ -92,11 +92,12 @@ def _sets(texts: list[str], words: int) -> list[bytes]:
     return [np.unique(x).tobytes() for x in np.split(each, np.searchsorted(np.repeat(of, count), np.arange(1, len(texts))))]
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 1 << 20, count: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters, ``count`` texts at most: each throws hundreds of darts, however short it is."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t) + 1
-        if size >= most:
+        if size >= most or i + 1 - start >= count:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -228,9 +229,9 @@ def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, class): the smallest node of each connected component, by alternating large and small stars.
+    """(node, class): for each node the smallest of its connected component, by alternating large and small stars.
 
-    edges: (a, b) of longs, in any direction. Nodes without edges are not in the result."""
+    edges: (a, b) of longs, in any direction. Nodes without edges and those that are the smallest themselves are not in the result."""
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = checkpointed(both), None
     while True:
@@ -244,7 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _joined(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = checkpointed(small)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("class"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
 def _similar(similarity: float):
@@ -272,7 +273,7 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
             yield batch[["id", "t1", "t2"]].assign(bands=keys, sketch=sketches, size=sizes)
 
     signed = base.mapInPandas(signed_rows, "id long, t1 long, t2 long, bands array<long>, sketch binary, size long")
-    reps = checkpointed(signed.groupBy("t1", "t2").agg(F.min_by(F.struct("bands", "sketch", "size"), "id").alias("s"), F.min("id").alias("rep")).select("t1", "t2", "rep", "s.bands", "s.sketch", "s.size"))
+    reps = checkpointed(signed.groupBy("t1", "t2").agg(F.min_by(F.struct("bands", "sketch", "size"), "id").alias("s"), F.min("id").alias("rep")).select("t1", "t2", "rep", "s.bands", "s.sketch", "s.size"), forget=True)
     # A text goes by its smallest id. Where several texts have one, all but one go by a number of their own, above 2**62.
     several = reps.groupBy("rep").agg(F.count("*").alias("texts"), F.min("t1").alias("least")).filter("texts > 1").select(F.col("rep").bitwiseXOR(F.lit(MASK)).alias("m"), "least")
     reps = reps.withColumn("node", F.col("rep"))
@@ -293,7 +294,7 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     # A repeated row would double its links, so one row of each text stays.
     wanted = _joined(reps.select("node", F.col("rep").alias("id"), "t1", "t2"), candidates, "node")
-    sets = checkpointed(base.join(wanted.hint("merge"), ["id", "t1", "t2"]).select("node", "text").mapInPandas(collect, "node long, set binary").dropDuplicates(["node"]))
+    sets = checkpointed(base.join(wanted.hint("merge"), ["id", "t1", "t2"]).select("node", "text").mapInPandas(collect, "node long, set binary").dropDuplicates(["node"]), forget=True)
     weight = open_rows.groupBy("node").agg(F.sum("n").alias("w"))
     centre = _joined(open_rows.select("h", "node"), weight, "node").groupBy("h").agg(F.max(F.struct("w", F.negative("node").alias("r"))).alias("c")).select("h", F.negative(F.col("c.r")).alias("c"))
     star = _joined(open_rows.select("h", "node"), centre, "h").filter("node <> c").select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"))
@@ -306,7 +307,7 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     two = _joined(one.withColumnRenamed("b", "node"), sets.withColumnRenamed("set", "y"), "node").withColumnRenamed("node", "b")
     first = components(two.select("a", "b", "x", "y").mapInPandas(_similar(similarity), "a long, b long, ok boolean").filter("ok").select("a", "b"))
     # Buckets that still hold several classes: each pair of rows of different classes is compared, by sketches and then by sets.
-    placed = checkpointed(_joined(open_rows.select("h", "band", "node"), first, "node", "left").select("h", "band", "node", F.coalesce("class", "node").alias("class")))
+    placed = checkpointed(_joined(open_rows.select("h", "band", "node"), first, "node", "left").select("h", "band", "node", F.coalesce("class", "node").alias("class")), forget=True)
     mixed = placed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("h")
     sized = _joined(_joined(placed, mixed, "h"), reps.select("node", "size"), "node")
     blocks = sized.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("long").alias("blocks"))
@@ -314,10 +315,11 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     met = own.select("h", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "class")
     in_pairs = lambda df: df.repartition(parts, "h", "p", "q").sortWithinPartitions("h", "p", "q")
     signs = reps.select("node", "sketch", "bands")
-    needed = checkpointed(in_pairs(_joined(met, signs, "node")).mapInPandas(_needed(places, least), PLACE))
+    needed = checkpointed(in_pairs(_joined(met, signs, "node")).mapInPandas(_needed(places, least), PLACE), forget=True)
     more = in_pairs(_joined(_joined(needed, signs, "node"), sets, "node")).mapInPandas(_linked(places, least, similarity), "a long, b long")
     second = _joined(more.withColumnRenamed("a", "node"), first, "node", "left").select(F.coalesce("class", "node").alias("a"), F.col("b").alias("node"))
     second = _joined(second, first, "node", "left").select("a", F.coalesce("class", "node").alias("b"))
+    second = checkpointed(second, forget=True)
     merged = components(second).select(F.col("node").alias("class"), F.col("class").alias("into"))
     known = _joined(reps.select("node", "t1", "t2", "rep"), first, "node", "left").select("t1", "t2", "rep", "node", F.coalesce("class", "node").alias("class"))
     return _joined(known, merged, "class", "left").select("t1", "t2", "rep", "node", F.coalesce("into", "class").alias("class"))

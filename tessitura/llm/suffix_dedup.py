@@ -453,7 +453,7 @@ def _remove(length: int):
                 kept = data[~gone].tobytes()
                 out.append((i, len(data), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0])), kept))
             if out:
-                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -507,5 +507,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     earliest = windows.filter("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("e")).select(F.col("w1").bitwiseXOR(F.lit(MASK)).alias("k1"), F.col("w2").bitwiseXOR(F.lit(MASK)).alias("k2"), "e")
     repeated = windows.withColumns({"k1": F.col("w1").bitwiseXOR(F.lit(MASK)), "k2": F.col("w2").bitwiseXOR(F.lit(MASK))}).join(earliest, ["k1", "k2"], "left").filter(F.col("w1").isNull() | (place != F.col("e"))).select("o", "x", "start", "count")
     marks = judged.unionByName(repeated).groupBy(F.col("o").alias("lo"), F.col("x").alias("lx")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-    kept = with_text(marks, "left").mapInPandas(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # Ids travel as text: beside nulls, pandas would make floats of them.
+    kept = with_text(marks, "left").withColumn("id", F.col("id").cast("string")).mapInPandas(_remove(length), "id string, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("id", F.col("id").cast("long"))
     return kept.unionByName(copied).withColumnRenamed("id", id_col)

@@ -121,3 +121,23 @@ def test_near_duplicates_keep_patterned_texts_apart(spark):
     texts = [" ".join("ab"[x] * 3 for x in thue_morse(600)), *patterned()[:2]]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.class_id for r in near_dup.near_duplicates(rows).collect()) == [0, 1, 2]
+
+
+def test_near_duplicates_sign_many_short_texts_in_bounded_memory():
+    """A batch of very short texts is signed in groups, as every text throws hundreds of darts."""
+    texts = [f"five words of text {i}" for i in range(5000)]
+    assert max(b - a for a, b in near_dup._groups(texts)) <= 1024
+    keys, sketches, sizes = near_dup.sign(texts)
+    again = near_dup.sign(texts[4000:4001])
+    assert len(keys) == len(sketches) == len(sizes) == 5000 and (keys[4000] == again[0][0]).all() and sketches[4000] == again[1][0]
+
+
+def test_wide_ids_beside_null(spark, vocabulary):
+    """Ids beyond 2**53 stay exact in batches that hold a null id."""
+    from tessitura.llm import ctph
+
+    rows = [(2**62 + 1, "some text"), (None, "nameless"), (-(2**63) + 1, "another"), (5, "short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((str(i) for i, _ in rows))
+    for done in (ctph.fingerprint_edits(d), bpe.encode_texts(d, vocabulary), suffix_dedup.remove_repeats(d), near_dup.near_duplicates(d)):
+        assert sorted(str(r.doc_id) for r in done.collect()) == want
