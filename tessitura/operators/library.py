@@ -153,8 +153,21 @@ def staged_load(new: DataFrame, old: DataFrame, key: str, match: list[str]) -> D
     return linked.join(fresh, match, "left").select(key, F.coalesce("__old", "__new").alias("kriti_id"), F.col("__old").isNull().alias("inserted"))
 
 
-def notation_lines(notes: DataFrame, width: int = 8) -> DataFrame:
-    """(clip_id, row_no, line): tokens of ``width`` notes a line; octaves above marked by "'", below by "."."""
-    token = F.concat("label", F.when(F.col("oct") > 0, F.repeat(F.lit("'"), F.col("oct"))).when(F.col("oct") < 0, F.repeat(F.lit("."), -F.col("oct"))).otherwise(""))
-    rows = notes.select("clip_id", "idx", F.floor(F.col("idx") / width).cast("long").alias("row_no"), token.alias("token"))
-    return rows.groupBy("clip_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda t: t["token"]), " ").alias("line"))
+def rendered(label: Column, octave: Column, artic: Column | None = None) -> Column:
+    """A label with a dot below or above its letter for the octave, one more at its end for the next, and a mark for how it is sung."""
+    below, above = "\u0323", "\u0307"
+    dot = F.when(octave <= -1, F.lit(below)).when(octave >= 1, F.lit(above)).otherwise("")
+    far = F.when(octave <= -2, F.lit(below)).when(octave >= 2, F.lit(above)).otherwise("")
+    mark = F.lit("") if artic is None else F.when(artic == "kampita", "~").when(artic == "slide-up", "/").when(artic == "slide-down", "\\").otherwise("")
+    return F.concat(F.substr(label, F.lit(1), F.lit(1)), dot, F.substr(label, F.lit(2)), far, mark)
+
+
+def notation_text(notes: DataFrame, width: int = 8, hide_transit: bool = True, marks: bool = True, default_unit: float = 0.2) -> DataFrame:
+    """(clip_id, text): notes as written lines of ``width`` cells; a comma for each unit that a note is held on. The unit is the 35th of a hundred durations in
+    order, of all the clip's notes. notes: (clip_id, idx, label, oct, dur, artic, transit)."""
+    unit = notes.groupBy("clip_id").agg(F.array_sort(F.collect_list("dur")).alias("d")).select("clip_id", F.coalesce(F.get("d", F.floor(F.size("d") * 0.35).cast("int")), F.lit(default_unit)).alias("unit"))
+    shown = notes.filter(~F.col("transit")) if hide_transit else notes
+    cell = F.concat(rendered(F.col("label"), F.col("oct"), F.col("artic") if marks else None), F.repeat(F.lit(" ,"), comma_count(F.col("dur"), F.col("unit"), F.lit(None).cast("int"))))
+    rows = shown.join(unit, "clip_id").withColumn("__k", F.row_number().over(Window.partitionBy("clip_id").orderBy("idx")) - 1).withColumn("__row", F.floor(F.col("__k") / width)).withColumn("__cell", cell)
+    lines = rows.groupBy("clip_id", "__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__cell"))), lambda t: t["__cell"]), "  ").alias("line"))
+    return lines.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__row", "line"))), lambda t: t["line"]), "\n").alias("text"))

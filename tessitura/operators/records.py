@@ -137,7 +137,7 @@ def name_candidates(raw: Column) -> Column:
     """What a written name may stand for, in order: without brackets, what stands in them, parts at "/", and each with or without a final m."""
     outer = F.regexp_replace(raw, r"\([^)]*\)", "")
     inner = F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda x: F.split(x, "/")))
-    every = F.filter(F.transform(F.concat(F.array(outer), inner, F.split(outer, "/")), F.trim), lambda c: c != "")
+    every = F.filter(F.transform(F.concat(F.array(outer), inner, F.split(outer, "/")), lambda c: F.trim(c)), lambda c: c != "")
     more = F.flatten(F.transform(every, lambda c: F.when(F.endswith(c, F.lit("m")), F.array(F.concat(c, F.lit("m")), F.substr(c, F.lit(1), F.length(c) - 1))).otherwise(F.array(F.concat(c, F.lit("m"))))))
     return F.concat(every, more)
 

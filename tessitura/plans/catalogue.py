@@ -543,11 +543,17 @@ def staged_load(spark, sf_dir):
     return lib.staged_load(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_partkey", ["k", "p_brand"])
 
 
-@query(f"""with {NOTES}, r as (select *, row_number() over (partition by clip_id order by idx) - 1 as rn from notes), c as (select clip_id, rn // 8 as row_no, string_agg(label || case when oct > 0 then repeat('''', oct) when oct < 0 then repeat('.', -oct) else '' end, ' ' order by rn) as line from r group by all)
-  select clip_id, row_no, line from c""")
+_CELL = """label[1] || case when oct <= -1 then chr(803) when oct >= 1 then chr(775) else '' end || label[2:] || case when oct <= -2 then chr(803) when oct >= 2 then chr(775) else '' end
+  || case artic when 'kampita' then '~' when 'slide-up' then '/' when 'slide-down' then chr(92) else '' end || repeat(' ,', greatest(0, least(7, floor(dur / unit + 0.5) - 1))::int)"""
+
+
+@query(f"""with {NOTES}, ar as (select *, case when abs(slide) > 90 and sd > 32 then (case when slide > 0 then 'slide-up' else 'slide-down' end) when sd > 48 then 'kampita' when sd > 22 then 'light' else 'plain' end as artic, idx % 9 = 4 as transit from notes),
+  un as (select clip_id, list_sort(list(dur))[floor(0.35 * count(*))::bigint + 1] as unit from ar group by 1), k as (select *, row_number() over (partition by clip_id order by idx) - 1 as k from ar join un using (clip_id) where not transit),
+  l as (select clip_id, k // 8 as row_no, string_agg({_CELL}, '  ' order by k) as line from k group by 1, 2) select clip_id, string_agg(line, chr(10) order by row_no) as text from l group by 1""")
 def notation_text(spark, sf_dir):
-    """Eight notes a line, octaves marked."""
-    return lib.notation_lines(decoded(spark, sf_dir), 8)
+    """Clips as written notation, every ninth note hidden as one in transit."""
+    n = fr.articulation(decoded(spark, sf_dir)).withColumn("transit", F.col("idx") % 9 == 4)
+    return lib.notation_text(n)
 
 
 @query("""with p as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) as links, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) select page_id, title, len(links)::int as links from p""")

@@ -51,7 +51,7 @@ def wikitable_rows(lines: DataFrame, by: str, order: str, value: str = "value")
     heading = F.nullif(F.regexp_extract(value, r"^==+\s*(.*?)\s*==+$", 1), F.lit(""))
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("heading", F.last(heading, True).over(w)).filter(F.col(value).startswith("|") & F.col(value).contains("||"))
-    return d.select(by, order, "heading", F.transform(F.split(F.regexp_replace(value, r"^\|\s*", ""), r"\s*\|\|\s*"), F.trim).alias("cells"))
+    return d.select(by, order, "heading", F.transform(F.split(F.regexp_replace(value, r"^\|\s*", ""), r"\s*\|\|\s*"), lambda x: F.trim(x)).alias("cells"))
 
 
 def decode_wav(data: bytes, start_s: float = 0.0, length_s: float | None = None) -> tuple[int, np.ndarray]:

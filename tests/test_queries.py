@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessitura.plans import catalogue, catalogue_analysis, catalogue_document, catalogue_library, catalogue_notation  # noqa: F401
+from tessitura.plans import catalogue, catalogue_analysis, catalogue_document, catalogue_library, catalogue_notation, catalogue_sources  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
