@@ -9,9 +9,7 @@ from tessitura.operators.frames import melody_scores
 
 
 #: What may be tuned for, as a mean over clips.
-OBJECTIVES = {
-    "overall": F.col("overall"), "pitch": F.col("raw_pitch"), "voicing": (F.col("voicing_recall") + 1 - F.col("false_alarm")) / 2, "combined": (F.col("raw_pitch") + F.col("overall")) / 2,
-}
+OBJECTIVES = {"overall": "overall", "pitch": "raw_pitch", "voicing": "(voicing_recall + 1 - false_alarm) / 2", "combined": "(raw_pitch + overall) / 2"}
 
 
 def _scores(f: DataFrame, configs: list[dict], tune: bool, objective: str) -> list[float]:
@@ -20,7 +18,7 @@ def _scores(f: DataFrame, configs: list[dict], tune: bool, objective: str) -> li
     loud = f.withColumn("__top", F.max("rms").over(Window.partitionBy("clip_id"))).filter(F.col("i") % 2 == (0 if tune else 1))
     est = F.when((F.col("conf") >= F.col("min_conf")) & (F.col("rms") > F.col("__top") * F.col("silence")), F.col("f0")).otherwise(0.0)
     pairs = loud.crossJoin(F.broadcast(dim)).select("clip_id", "n", est.alias("est"), "gt")
-    rows = melody_scores(pairs, ["clip_id", "n"]).groupBy("n").agg(F.avg(OBJECTIVES[objective]).alias("s")).collect()
+    rows = melody_scores(pairs, ["clip_id", "n"]).groupBy("n").agg(F.avg(F.expr(OBJECTIVES[objective])).alias("s")).collect()
     return [x for _, x in sorted((r["n"], r["s"]) for r in rows)]
 
 
