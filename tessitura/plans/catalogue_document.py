@@ -258,7 +258,7 @@ def attached_marks(spark, sf_dir):
 
 @query("""with b as (select distinct l_suppkey as page, floor(l_quantity / 10)::int as band, floor(l_quantity / 10) * 10.0 + 2 as low, floor(l_quantity / 10) * 10.0 + 5 as high from lineitem where l_quantity::int % 10 < 3 and floor(l_quantity / 10)::int % 2 = 0),
   p as (select l_suppkey as page, l_orderkey, l_linenumber, l_partkey, l_quantity + 0.5 as y from lineitem), j as (select p.*, b.band, greatest(0.0, b.low - y, y - b.high) as d from p join b using (page)),
-  n as (select page, l_orderkey, l_linenumber, l_partkey, min(struct_pack(d := d, band := band)) as m from j where d < 12 group by all) select p.page, p.l_orderkey, p.l_linenumber, p.l_partkey, m.band from p left join n using (page, l_orderkey, l_linenumber, l_partkey)""")
+  n as (select page, l_orderkey, l_linenumber, l_partkey, y, min(struct_pack(d := d, band := band)) as m from j where d < 12 group by all) select p.page, p.l_orderkey, p.l_linenumber, p.l_partkey, m.band from p left join n using (page, l_orderkey, l_linenumber, l_partkey, y)""")
 def nearest_row_band(spark, sf_dir):
     """Rows of glyphs that stray ones belong to."""
     li = table(spark, sf_dir, "lineitem")
