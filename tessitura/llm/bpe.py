@@ -29,7 +29,7 @@ GROUP = 1 << 20
 NO_RANK = np.int64(2**62)
 #: Words of more bytes than this go through rounds of their own, in which all places merge that are least within reach; of two generations
 #: of words that a worker remembers each holds so many.
-LONG, REMEMBERED = 256, 150_000
+LONG, REMEMBERED = 256, 50_000
 
 
 def byte_letters() -> list[str]:

@@ -23,7 +23,8 @@ NAMES = (
     "log_chars", "log_words", "word_length", "upper", "digits", "blanks", "lines_per_word", "non_ascii", "shout_marks", "symbol_marks", "bars", "stops", "other_marks",
     "distinct_words", "top_word", "same_as_last", "repeated_runs", "char_entropy",
 )
-GROUP = 1 << 20
+#: Characters, and texts, that are handled at once.
+GROUP, MOST = 1 << 20, 4096
 
 
 def _share(flags: np.ndarray, starts: np.ndarray, over: np.ndarray) -> np.ndarray:
@@ -71,7 +72,7 @@ def features(texts: list[str]) -> np.ndarray:
     for t in texts:
         group.append(t)
         size += len(t) + 1
-        if size >= GROUP:
+        if size >= GROUP or len(group) >= MOST:
             out.append(_features(group))
             group, size = [], 0
     if group:

@@ -253,32 +253,34 @@ def test_block_pairs_over_batches():
         assert len(links) == sum(len({r[6] for x in pairs for r in x if (r[0], r[2], r[3]) == k}) - 1 for k in {(h, p, q) for h, _, p, q, *_ in rows})
 
 
-@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.85])
-def test_near_duplicates_recall_in_a_template(spark, similarity):
-    """Texts of one template, each with one twin just above the similarity: at least nine tenths of all links are found, whatever the partitions."""
-    r, texts = random.Random(int(similarity * 100)), {}
-    common = prose(120, 77)
+def test_near_duplicates_recall_in_a_template(spark):
+    """Texts of one template, each with one twin just above a similarity of 0.8, 0.82 or 0.85: at least nine tenths of the links of each are found, whatever
+    the partitions."""
+    r, texts, levels = random.Random(80), {}, (0.8, 0.82, 0.85)
+    common, n = prose(120, 77), 416
     for k in range(150):
         own = [f"t{k}_{i}" for i in range(300)]
         texts[k] = f"{common} {' '.join(own)}"
         # One changed word takes five runs of some 416; m of them leave (n - 5m) / (n + 5m).
-        n = 416
-        m = int(n * (1 - similarity - 0.002) / (5 * (1 + similarity + 0.002)))
+        least = levels[k % 3] + 0.002
+        m = int(n * (1 - least) / (5 * (1 + least)))
         for i in range(m):
             own[8 + i * 290 // m] = f"z{k}_{i}"
         texts[1000 + k] = f"{common} {' '.join(own)}"
     rows = spark.createDataFrame(r.sample(list(texts.items()), len(texts)), "doc_id long, text string")
     results = []
-    for parts in (4, 24) if similarity == 0.8 else (4,):
+    for parts in (4, 13):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
             results.append({x.doc_id: x.class_id for x in near_dup.near_duplicates(rows).collect()})
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
-    assert results[0] == results[-1]
-    # The query set: every id divisible by 100; and all pairs.
-    for asked in (range(0, 150, 100), range(150)):
+    assert results[0] == results[1]
+    for level in range(3):
+        asked = range(level, 150, 3)
         assert sum(results[0][1000 + k] == results[0][k] for k in asked) >= 0.9 * len(asked)
+    # The query set: every id divisible by 100.
+    assert all(results[0][1000 + k] == results[0][k] for k in (0, 100))
     assert len(set(results[0].values())) >= 150
 
 
