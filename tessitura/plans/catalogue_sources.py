@@ -29,7 +29,7 @@ def contour_files(spark, sf_dir):
     return text.read_contour(spark, path).select(_clip(), "t_s", "hz")
 
 
-@query("select s_suppkey as clip, case when s_suppkey % 4 = 0 then null else 100.0 + s_suppkey end as tonic_hz from supplier")
+@query("select s_suppkey::int as clip, case when s_suppkey % 4 = 0 then null else (100.0 + s_suppkey)::double end as tonic_hz from supplier")
 def tonic_files(spark, sf_dir):
     """Tonics written as text and read; one in four isn't a number."""
     line = F.when(F.col("s_suppkey") % 4 == 0, "no tonic").otherwise(F.concat((F.col("s_suppkey") + 100.0).cast("string"), F.lit(" Hz")))
@@ -37,7 +37,7 @@ def tonic_files(spark, sf_dir):
     return text.read_tonic(spark, path).select(_clip(), "tonic_hz")
 
 
-@query("""select o_custkey % 50 as clip, (o_orderkey % 1000) / 2.0::double as start_s, (o_orderkey % 1000) / 2.0::double + o_orderkey % 50 as end_s, case o_orderkey % 3 when 0 then 'Pallavi' when 1 then 'Caranam' else 'applause' end as label,
+@query("""select (o_custkey % 50)::int as clip, (o_orderkey % 1000) / 2.0::double as start_s, (o_orderkey % 1000) / 2.0::double + o_orderkey % 50 as end_s, case o_orderkey % 3 when 0 then 'Pallavi' when 1 then 'Caranam' else 'applause' end as label,
    case o_orderkey % 3 when 2 then 'other' else 'composition' end as kind from orders where o_orderkey % 11 <> 0""")
 def section_files(spark, sf_dir):
     """Sections in four columns written as text, read and classified; lines without a start are dropped."""
