@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -63,11 +64,14 @@ def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
     """The rows written to the shared folder in spark.checkpoint.dir and read from there, so that lost executors don't matter.
 
     What was shuffled on the way isn't read again. Spark removes it once the driver has forgotten it, so with ``forget`` the driver is told to collect its
-    garbage; else the files of all steps of a long job would stay on the executors' disks until its heap happened to fill."""
+    garbage, Python's first, as that holds on to the JVM's; else the files of all steps of a long job would stay on the executors' disks until its heap
+    happened to fill. A plan that the caller has given a name is held by that name; one that is handed over without goes at once."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     out = df.checkpoint()
     if forget:
+        del df
+        gc.collect()
         context._jvm.System.gc()
     return out

@@ -232,8 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, class): for each node the smallest of its connected component, by alternating large and small stars.
 
     edges: (a, b) of longs, in any direction. Nodes without edges and those that are the smallest themselves are not in the result."""
-    both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = checkpointed(both), None
+    now, before = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), forget=True), None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
@@ -243,8 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _joined(around.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _joined(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = checkpointed(small)
+        small = _joined(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = checkpointed(small.select("e.u", "e.v").filter("u <> v").distinct(), forget=True)
     return now.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
@@ -279,10 +278,10 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     reps = reps.withColumn("node", F.col("rep"))
     if not several.isEmpty():
         own = F.when(F.col("t1") != F.col("least"), F.col("t1").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
-        reps = checkpointed(reps.withColumn("m", F.col("rep").bitwiseXOR(F.lit(MASK))).join(several.hint("merge"), "m", "left").withColumn("node", F.coalesce(own, "rep")).drop("m", "least"))
+        reps = checkpointed(reps.withColumn("m", F.col("rep").bitwiseXOR(F.lit(MASK))).join(several.hint("merge"), "m", "left").withColumn("node", F.coalesce(own, "rep")).drop("m", "least"), forget=True)
     rows_of = reps.select("node", F.posexplode("bands").alias("band", "h"))
     shared = rows_of.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    open_rows = checkpointed(_joined(rows_of, shared, "h"))
+    open_rows = checkpointed(_joined(rows_of, shared, "h"), forget=True)
     candidates = open_rows.select("node").distinct()
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,8 +317,7 @@ def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     needed = checkpointed(in_pairs(_joined(met, signs, "node")).mapInPandas(_needed(places, least), PLACE), forget=True)
     more = in_pairs(_joined(_joined(needed, signs, "node"), sets, "node")).mapInPandas(_linked(places, least, similarity), "a long, b long")
     second = _joined(more.withColumnRenamed("a", "node"), first, "node", "left").select(F.coalesce("class", "node").alias("a"), F.col("b").alias("node"))
-    second = _joined(second, first, "node", "left").select("a", F.coalesce("class", "node").alias("b"))
-    second = checkpointed(second, forget=True)
+    second = checkpointed(_joined(second, first, "node", "left").select("a", F.coalesce("class", "node").alias("b")), forget=True)
     merged = components(second).select(F.col("node").alias("class"), F.col("class").alias("into"))
     known = _joined(reps.select("node", "t1", "t2", "rep"), first, "node", "left").select("t1", "t2", "rep", "node", F.coalesce("class", "node").alias("class"))
     return _joined(known, merged, "class", "left").select("t1", "t2", "rep", "node", F.coalesce("into", "class").alias("class"))

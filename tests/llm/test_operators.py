@@ -1,8 +1,10 @@
 """Each training-data operator against a brute-force version, on texts that are null, empty, long, tied and repeated, with clashing columns."""
 
+import gc
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -295,6 +297,25 @@ def test_near_duplicates_weigh_repeated_runs(spark):
     assert kept.columns == d.columns and sorted(r.body for r in kept.collect()) == sorted({a, b, prose(90, 5), prose(90, 6)})
 
 
+def test_near_duplicates_shuffles_go_as_steps_end(spark):
+    """Components of a chain take several rounds; the shuffle files of none are kept, though nobody else tells the driver to collect its garbage."""
+    jvm = spark.sparkContext._jvm
+
+    def held(most=-1, seconds=10.0):
+        end = time.time() + seconds
+        while (n := jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()) > most and time.time() < end:
+            time.sleep(0.2)
+        return n
+
+    gc.collect()
+    jvm.System.gc()
+    before = held(seconds=3.0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    found = near_dup.components(edges)
+    assert held(before + 8) <= before + 8
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 61)]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     g = np.random.default_rng(3)
     e = g.integers(0, 2**63, 60, dtype=np.uint64)
