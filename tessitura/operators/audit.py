@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.operators.staging import dealt
+
 EPS = 1e-6
 
 
@@ -74,11 +76,14 @@ def attach_marks(marks: DataFrame, bases: DataFrame, page: str, height: float =
 
 
 def nearest_band(points: DataFrame, bands: DataFrame, by: str, most: float = 12.0) -> DataFrame:
-    """Adds band to points (by, id, y): the band (by, band, low, high; not overlapping) that holds y or is nearest, less than ``most`` away; the lower on ties."""
+    """Adds band to points (by, id, y): the band (by, band, low, high; not overlapping) that holds y or is nearest, less than ``most`` away; the lower on ties.
+
+    The band above is looked up in falling order: a frame that ends with its partition would be read anew for each row."""
     pair = F.struct(F.col("band").alias("b"), F.col("low").alias("lo"), F.col("high").alias("hi"))
     both = points.withColumn("__b", F.lit(None).cast(bands.select(pair.alias("x")).schema["x"].dataType)).withColumn("__own", F.lit(1)).unionByName(bands.select(by, F.col("low").alias("y"), pair.alias("__b"), F.lit(0).alias("__own")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("y", "__own")
-    d = both.withColumn("__p", F.last("__b", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first("__b", True).over(w.rowsBetween(1, Window.unboundedFollowing))).filter("__own = 1")
+    up, down = Window.partitionBy(by).orderBy("y", "__own"), Window.partitionBy(by).orderBy(F.desc("y"), F.desc("__own"))
+    before = Window.unboundedPreceding
+    d = dealt(both, by).withColumn("__p", F.last("__b", True).over(up.rowsBetween(before, 0))).withColumn("__n", F.last("__b", True).over(down.rowsBetween(before, -1))).filter("__own = 1")
     before, after = F.when(F.col("__p.hi").isNotNull(), F.greatest(F.lit(0.0), F.col("y") - F.col("__p.hi"))), F.col("__n.lo") - F.col("y")
     pick = F.when((before < most) & (after.isNull() | (before <= after)), F.col("__p.b")).when(after < most, F.col("__n.b"))
     return d.withColumn("band", pick).drop("__b", "__own", "__p", "__n")

@@ -42,9 +42,9 @@ def median_smooth(df: DataFrame, w: int = 1) -> DataFrame:
 
 
 def gap_fill(df: DataFrame, most: int = 6) -> DataFrame:
-    """Unvoiced runs of ``most`` frames or fewer between voiced frames are interpolated: filled (cents) and voiced_filled."""
+    """Unvoiced runs of ``most`` frames or fewer between voiced frames are interpolated: filled (cents) and voiced_filled. Beyond ``most`` rows no frame counts."""
     here = F.when(F.col("voiced"), F.struct("i", "cents"))
-    d = df.withColumn("__a", F.last(here, True).over(_order().rowsBetween(Window.unboundedPreceding, -1))).withColumn("__b", F.first(here, True).over(_order().rowsBetween(1, Window.unboundedFollowing)))
+    d = df.withColumn("__a", F.last(here, True).over(_order().rowsBetween(Window.unboundedPreceding, -1))).withColumn("__b", F.first(here, True).over(_order().rowsBetween(1, most)))
     short = ~F.col("voiced") & (F.col("__b.i") - F.col("__a.i") - 1 <= most)
     line = F.col("__a.cents") + (F.col("__b.cents") - F.col("__a.cents")) * (F.col("i") - F.col("__a.i")) / (F.col("__b.i") - F.col("__a.i"))
     short = F.coalesce(short, F.lit(False))
@@ -179,12 +179,13 @@ def nearest_of(c: Column, positions: Column, labels: Column, temperament: str =
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, on: str, value: str, floor_s: float = 0.005) -> DataFrame:
     """Adds ``value`` of the right row nearest in ``on`` (the earlier on ties) within max(mean step of the right side, floor_s); else 0.
 
-    One sort of both sides together; no pair of rows is built. A right side of one row counts a step of 0.01."""
+    Both sides sorted together, up and down, as a frame that ends with its partition would be read anew for each row; no pair of rows is built. A right side of one row counts a step of 0.01."""
     step = right.groupBy(by).agg(F.when(F.count("*") > 1, (F.max(on) - F.min(on)) / (F.count("*") - 1)).otherwise(0.01).alias("__step"))
     both = left.withColumn("__r", F.lit(None).cast(f"struct<t:double,v:double>")).withColumn("__own", F.lit(1)).unionByName(
         right.select(by, on, F.struct(F.col(on).cast("double").alias("t"), F.col(value).cast("double").alias("v")).alias("__r"), F.lit(0).alias("__own")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(on, "__own")
-    d = both.withColumn("__a", F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__r", True).over(w.rowsBetween(1, Window.unboundedFollowing))).filter("__own = 1")
+    up, down = Window.partitionBy(by).orderBy(on, "__own"), Window.partitionBy(by).orderBy(F.desc(on), F.desc("__own"))
+    before = Window.unboundedPreceding
+    d = both.withColumn("__a", F.last("__r", True).over(up.rowsBetween(before, 0))).withColumn("__b", F.last("__r", True).over(down.rowsBetween(before, -1))).filter("__own = 1")
     t = F.col(on)
     pick = F.when(F.col("__b").isNull() | (t - F.col("__a.t") <= F.col("__b.t") - t), F.col("__a")).otherwise(F.col("__b"))
     tol = F.greatest(F.col("__step"), F.lit(floor_s))

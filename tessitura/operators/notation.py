@@ -47,8 +47,9 @@ def nearest_in_band(left: DataFrame, right: DataFrame, by: str, x: str, value: s
     """Adds ``value`` of the right row nearest in ``x`` within ``band``; the left one on ties; null if there is none."""
     pair = F.struct(F.col(x).alias("x"), F.col(value).alias("v"))
     both = left.withColumn("__r", F.lit(None).cast(right.select(pair.alias("p")).schema["p"].dataType)).withColumn("__own", F.lit(1)).unionByName(right.select(by, x, pair.alias("__r"), F.lit(0).alias("__own")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(x, "__own")
-    d = both.withColumn("__a", F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__r", True).over(w.rowsBetween(1, Window.unboundedFollowing))).filter("__own = 1")
+    up, down = Window.partitionBy(by).orderBy(x, "__own"), Window.partitionBy(by).orderBy(F.desc(x), F.desc("__own"))
+    before = Window.unboundedPreceding
+    d = both.withColumn("__a", F.last("__r", True).over(up.rowsBetween(before, 0))).withColumn("__b", F.last("__r", True).over(down.rowsBetween(before, -1))).filter("__own = 1")
     da, db = F.col(x) - F.col("__a.x"), F.col("__b.x") - F.col(x)
     pick = F.when((da <= band) & (db.isNull() | (da <= db)), F.col("__a.v")).when(db <= band, F.col("__b.v"))
     return d.withColumn(value, pick).drop("__r", "__own", "__a", "__b")

@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str, each: int = 1 << 20) -> DataFrame:
+    """The rows of tables dealt out by ``keys``: a partition for each ``each`` bytes of the files that are read, and one for each core at least. So more input
+    makes more tasks, not larger ones: left to itself, Spark fills tasks up to a size in shuffled bytes, which are many times that in sorts and lists."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // each)), *keys)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation of what stands before."""
     context = df.sparkSession.sparkContext
