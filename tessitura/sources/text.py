@@ -1,4 +1,6 @@
-"""Sources: pitch contours, tonics, sections, library tables, WAV windows. All read through Spark, so any store that it reads will do."""
+"""Sources: pitch contours, tonics, sections, library tables, WAV windows. All read through Spark, so any store that it reads will do.
+
+Contours, tonics and sections stand in a file of each record, or packed: many records in few files, as a store of a file a record costs milliseconds for each."""
 
 from __future__ import annotations
 
@@ -7,33 +9,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+#: What can't stand in a packed line, and what stands for it; read back in this order.
+_ESCAPES = [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\\", "\\s")]
+
+
+def pack(texts: DataFrame, path: str) -> None:
+    """Writes texts (file, value) to a folder of packed files: a line of each row, the name of its file, a tab and the text. Null texts are empty."""
+    def escaped(c: Column) -> Column:
+        for a, b in reversed(_ESCAPES):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    texts.select(F.concat(escaped(F.col("file")), F.lit("\t"), escaped(F.coalesce("value", F.lit("")))).alias("value")).write.text(path)
+
+
+def unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """The rows (file, value) that ``pack`` wrote."""
+    def plain(c: Column) -> Column:
+        for a, b in _ESCAPES:
+            c = F.replace(c, F.lit(b), F.lit(a))
+        return c
+
+    d = spark.read.text(path)
+    return d.select(plain(F.substring_index("value", "\t", 1)).alias("file"), plain(F.substring_index("value", "\t", -1)).alias("value"))
+
+
+def _lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    if packed:
+        return unpacked(spark, path)
     return spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def read_contour(spark: SparkSession, path: str) -> DataFrame:
-    """(file, t_s, hz): lines of two numbers or more; others are dropped; hz of 0 or less is 0 (unvoiced)."""
+def read_contour(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(file, t_s, hz): lines of two numbers or more; others are dropped; hz of 0 or less is 0 (unvoiced). packed: of files that ``pack`` wrote, a row a line."""
     parts = F.split(F.trim("value"), r"[\t, ]+")
-    d = _lines(spark, path).select("file", F.get(parts, F.lit(0)).try_cast("double").alias("t_s"), F.get(parts, F.lit(1)).try_cast("double").alias("hz"))
+    d = _lines(spark, path, packed).select("file", F.get(parts, F.lit(0)).try_cast("double").alias("t_s"), F.get(parts, F.lit(1)).try_cast("double").alias("hz"))
     return d.filter("t_s is not null and hz is not null and not isnan(t_s) and not isnan(hz)").withColumn("hz", F.greatest("hz", F.lit(0.0)))
 
 
-def read_tonic(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tonic_hz): the first token of each file if it is a positive number, else null."""
-    d = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).try_cast("double").alias("x"))
+def read_tonic(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(file, tonic_hz): the first token of each file if it is a positive number, else null. packed: of files that ``pack`` wrote, a row a whole text."""
+    whole = unpacked(spark, path) if packed else spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    d = whole.select("file", F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).try_cast("double").alias("x"))
     return d.select("file", F.when(F.col("x") > 0, F.col("x")).alias("tonic_hz"))
 
 
-def read_sections(spark: SparkSession, path: str, columns: int = 3) -> DataFrame:
-    """(file, start_s, end_s, label): start, end, label; or with four columns start, flag, duration, label. Rows without a start are dropped."""
+def read_sections(spark: SparkSession, path: str, columns: int = 3, packed: bool = False) -> DataFrame:
+    """(file, start_s, end_s, label): start, end, label; or with four columns start, flag, duration, label. Rows without a start are dropped. packed: of files
+    that ``pack`` wrote, a row a line."""
     p = F.split(F.trim("value"), r"\t| {2,}")
     num = lambda k: F.get(p, F.lit(k)).try_cast("double")
     end = num(1) if columns == 3 else num(0) + num(2)
-    return _lines(spark, path).select("file", num(0).alias("start_s"), end.alias("end_s"), F.get(p, F.lit(columns - 1)).alias("label")).filter("start_s is not null").orderBy("file", "start_s")
+    return _lines(spark, path, packed).select("file", num(0).alias("start_s"), end.alias("end_s"), F.get(p, F.lit(columns - 1)).alias("label")).filter("start_s is not null").orderBy("file", "start_s")
 
 
 def list_records(spark: SparkSession, path: str, suffixes: dict[str, str]) -> DataFrame:

@@ -1,11 +1,15 @@
 """Plans whose tasks must not grow with the input, or with the square of a group."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tessitura.operators import audit
 from tessitura.operators import frames as fr
 from tessitura.operators import notation
 from tessitura.operators.staging import dealt
+from tessitura.plans import catalogue_sources
+from tessitura.sources import text
 
 
 def plan(df) -> str:
@@ -36,3 +40,18 @@ def test_no_frame_ends_with_its_partition(spark):
     assert "unboundedfollowing" not in plan(notation.nearest_in_band(t.select("clip_id", F.col("t").alias("x")), t.select("clip_id", F.col("t").alias("x"), "v"), "clip_id", "x", "v", 2.5))
     c = spark.range(50).select(F.lit(1).alias("clip_id"), F.col("id").alias("i"), (F.col("id") * 1.0).alias("cents"), (F.col("id") % 9 < 2).alias("voiced"))
     assert "unboundedfollowing" not in plan(fr.gap_fill(c))
+
+
+def test_packed_texts(spark, tmp_path):
+    rows = [("clip=1", "146.8 Hz\nA\\n\\\\s"), ("clip=2", "\tno\r\ntonic"), ("a\tb\\t", ""), ("clip=3", "  0.5")]
+    text.pack(spark.createDataFrame([*rows, ("none", None)], "file string, value string"), str(tmp_path / "p"))
+    assert sorted(map(tuple, text.unpacked(spark, str(tmp_path / "p")).collect())) == sorted([*rows, ("none", "")])
+    got = {r.file: r.tonic_hz for r in text.read_tonic(spark, str(tmp_path / "p"), packed=True).collect()}
+    assert got == {"clip=1": 146.8, "clip=2": None, "a\tb\\t": None, "clip=3": 0.5, "none": None}
+
+
+def test_as_many_files_as_tasks(spark):
+    """Not one for each clip."""
+    clips = spark.range(0, 500, 1, 3).select(F.col("id").alias("clip"), F.lit("1 2").alias("line"))
+    path = catalogue_sources._written(clips, spark, "many")
+    assert sum(f.startswith("part-") for _, _, names in os.walk(path) for f in names) <= 3
