@@ -55,3 +55,11 @@ def test_as_many_files_as_tasks(spark):
     clips = spark.range(0, 500, 1, 3).select(F.col("id").alias("clip"), F.lit("1 2").alias("line"))
     path = catalogue_sources._written(clips, spark, "many")
     assert sum(f.startswith("part-") for _, _, names in os.walk(path) for f in names) <= 3
+
+
+def test_contours_and_sections_packed(spark, tmp_path):
+    lines = [("a", "0.5\t220"), ("a", "broken"), ("b", "1.0\t-3")]
+    text.pack(spark.createDataFrame(lines, "file string, value string"), str(tmp_path / "c"))
+    assert sorted(map(tuple, text.read_contour(spark, str(tmp_path / "c"), packed=True).collect())) == [("a", 0.5, 220.0), ("b", 1.0, 0.0)]
+    text.pack(spark.createDataFrame([("a", "2\t1\t3\tPallavi"), ("a", "x\t1\t3\tno")], "file string, value string"), str(tmp_path / "s"))
+    assert [tuple(r) for r in text.read_sections(spark, str(tmp_path / "s"), 4, packed=True).collect()] == [("a", 2.0, 5.0, "Pallavi")]
