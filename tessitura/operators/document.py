@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,29 +30,41 @@ def written(label: Column, octave: Column) -> Column:
     return F.concat(label, F.when(octave > 0, F.repeat(F.lit("'"), octave)).when(octave < 0, F.repeat(F.lit("."), -octave)).otherwise(""))
 
 
+def cut(column: str, starts: Callable[[Column, Column], Column]) -> Column:
+    """An array's parts: each begins where ``starts`` (of an element and its place) is true. The first element must start one."""
+    at = F.filter(F.transform(column, lambda x, k: F.when(starts(x, k), k)), lambda k: k.isNotNull())
+    ends = F.array_append(F.slice(at, 2, F.size(at)), F.size(column))
+    return F.zip_with(at, ends, lambda a, b: F.slice(column, a + 1, b - a))
+
+
 def documents(rows: DataFrame, by: str, tala: Column, grid: Column) -> DataFrame:
     """(by, document): one JSON document for each piece of rows (by, section, name, pos, s, o, d, syl). Null syllables are left out."""
     svara = F.struct("s", F.col("o").cast("int").alias("o"), F.col("d").cast("double").alias("d"), "syl")
-    sections = rows.groupBy(by, "section").agg(F.min("name").alias("name"), F.sum("d").cast("double").alias("aksharas"), F.array_sort(F.collect_list(F.struct("pos", svara.alias("v")))).alias("p"), F.first(tala).alias("tala"), F.first(grid).alias("grid"))
-    whole = sections.groupBy(by).agg(F.first("tala").alias("tala"), F.first("grid").cast("int").alias("gridFactor"), F.array_sort(F.collect_list(F.struct("section", F.struct("name", "aksharas", F.transform("p", lambda x: x["v"]).alias("svaras")).alias("v")))).alias("s"))
-    return whole.select(by, F.to_json(F.struct("tala", "gridFactor", F.transform("s", lambda x: x["v"]).alias("sections"))).alias("document"))
+    one = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("section", "pos", "name", svara.alias("v")))).alias("p"), F.first(tala).alias("tala"), F.first(grid).cast("int").alias("gridFactor"))
+    new = cut("p", lambda x, k: (k == 0) | ~x["section"].eqNullSafe(F.get("p", k - 1)["section"]))
+    total = lambda p: F.when(F.exists(p, lambda x: x["v"]["d"].isNotNull()), F.aggregate(p, F.lit(0.0), lambda t, x: t + F.coalesce(x["v"]["d"], F.lit(0.0))))
+    section = lambda p: F.struct(F.array_min(F.transform(p, lambda x: x["name"])).alias("name"), total(p).alias("aksharas"), F.transform(p, lambda x: x["v"]).alias("svaras"))
+    return one.select(by, F.to_json(F.struct("tala", "gridFactor", F.transform(new, section).alias("sections"))).alias("document"))
 
 
 def document_rows(docs: DataFrame, by: str, document: str = "document") -> DataFrame:
     """Rows (by, section, name, pos, s, o, d, syl) of documents, either with a section in each entry or with all svaras in the first and marks where one starts."""
-    d = docs.select(by, F.from_json(document, DOCUMENT).alias("d")).select(by, F.posexplode("d.sections").alias("entry", "e"))
-    v = d.select(by, "entry", F.col("e.name").alias("name"), F.posexplode("e.svaras").alias("pos", "v"))
-    w = Window.partitionBy(by).orderBy("entry", "pos")
-    starts = F.when(F.col("pos") == 0, 1).when(F.col("v.sectionStart").isNotNull(), 1).otherwise(0)
-    v = v.withColumn("section", F.sum(starts).over(w) - 1)
-    inner = Window.partitionBy(by, "section").orderBy("entry", "pos")
-    named = F.coalesce(F.first("v.sectionStart", True).over(Window.partitionBy(by, "section")), F.col("name"))
-    return v.select(by, F.col("section").cast("int").alias("section"), named.alias("name"), (F.row_number().over(inner) - 1).alias("pos"), "v.s", "v.o", "v.d", "v.syl")
+    def entry(e: Column) -> Column:
+        return F.transform(e["svaras"], lambda v, k: F.struct(((k == 0) | v["sectionStart"].isNotNull()).alias("starts"), F.coalesce(v["sectionStart"], e["name"]).alias("name"), v.alias("v")))
+
+    whole = F.flatten(F.filter(F.transform("d.sections", entry), lambda e: e.isNotNull()))
+    d = docs.select(by, F.from_json(document, DOCUMENT).alias("d")).select(by, whole.alias("all"))
+    section = F.posexplode(cut("all", lambda x, k: x["starts"])).alias("section", "part")
+    v = d.select(by, section).select(by, "section", F.get("part", F.lit(0))["name"].alias("name"), F.posexplode("part").alias("pos", "x"))
+    return v.select(by, "section", "name", "pos", "x.v.s", "x.v.o", "x.v.d", "x.v.syl")
 
 
 def with_structure(docs: DataFrame, structure: Column, document: str = "document") -> DataFrame:
     """Documents with a new field ``structure``; the rest of them stays."""
-    return docs.withColumn(document, F.to_json(F.from_json(document, DOCUMENT).withField("structure", structure)))
+    # Read in a step of its own: fields taken from from_json in one expression would each read the text anew.
+    d = docs.withColumn("__d", F.from_json(document, DOCUMENT))
+    new = F.struct(*[F.col(f"__d.{c}").alias(c) for c in ("tala", "gridFactor", "sections")], structure.alias("structure"))
+    return d.withColumn(document, F.to_json(F.when(F.col("__d").isNotNull(), new))).drop("__d")
 
 
 def first_value(value: Column) -> Column:
@@ -64,10 +78,11 @@ def contributed(rows: DataFrame, by: str) -> DataFrame:
     """(by, flat, document) of rows (by, section, name, pos, s, o, d, syl): all sections in a row, syllables left out of ``flat``; in the document the first
     svara of a section says which starts."""
     token = written(F.col("s"), F.col("o"))
-    first = F.row_number().over(Window.partitionBy(by, "section").orderBy("pos")) == 1
-    d = rows.withColumn("sectionStart", F.when(first, F.col("name")))
-    one = d.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("section", "pos", token.alias("t"), F.struct("s", F.col("o").cast("int").alias("o"), F.col("d").cast("double").alias("d"), "syl", "sectionStart").alias("v")))).alias("p"))
-    return one.select(by, F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("flat"), F.to_json(F.struct(F.array(F.struct(F.transform("p", lambda x: x["v"]).alias("svaras"))).alias("sections"))).alias("document"))
+    svara = F.struct("s", F.col("o").cast("int").alias("o"), F.col("d").cast("double").alias("d"), "syl")
+    one = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("section", "pos", token.alias("t"), svara.alias("v"), "name"))).alias("p"))
+    first = lambda x, k: (k == 0) | ~x["section"].eqNullSafe(F.get("p", k - 1)["section"])
+    svaras = F.transform("p", lambda x, k: F.struct(*[x["v"][c].alias(c) for c in ("s", "o", "d", "syl")], F.when(first(x, k), x["name"]).alias("sectionStart")))
+    return one.select(by, F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("flat"), F.to_json(F.struct(F.array(F.struct(svaras.alias("svaras"))).alias("sections"))).alias("document"))
 
 
 def units(notes: DataFrame, by: str, order: str, group: str, commas: str, speed: float = 1.0) -> DataFrame:

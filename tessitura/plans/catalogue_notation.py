@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import music
 from tessitura.operators import frames as fr
 from tessitura.operators import notation
+from tessitura.operators.staging import dealt
 from tessitura.plans.catalogue import CONTOUR, FRAMES, LABELS, NOTES, PLACES, TONIC, decoded, frames, query, table
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -15,7 +16,7 @@ _NUMBERED = f"u as (select *, row_number() over (partition by l_orderkey order b
 
 
 def numbered(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))))
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))))
 
 
 @query(f"with {FRAMES}, h as (select *, (sum((event_type <> 'view')::int) over (partition by clip_id order by i))::bigint as n from frames) select clip_id, n, min(i) as start, count(*) as beats from h where n > 0 group by all")

@@ -4,11 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from tessitura.operators import audit
+from tessitura.functions import talas
+from tessitura.operators import audit, document, kernels, notation, scales
 from tessitura.operators import frames as fr
-from tessitura.operators import notation
 from tessitura.operators.staging import dealt
-from tessitura.plans import catalogue_sources
+from tessitura.plans import catalogue, catalogue_document, catalogue_library, catalogue_sources
 from tessitura.sources import text
 
 
@@ -63,3 +63,9 @@ def test_contours_and_sections_packed(spark, tmp_path):
     assert sorted(map(tuple, text.read_contour(spark, str(tmp_path / "c"), packed=True).collect())) == [("a", 0.5, 220.0), ("b", 1.0, 0.0)]
     text.pack(spark.createDataFrame([("a", "2\t1\t3\tPallavi"), ("a", "x\t1\t3\tno")], "file string, value string"), str(tmp_path / "s"))
     assert [tuple(r) for r in text.read_sections(spark, str(tmp_path / "s"), 4, packed=True).collect()] == [("a", 2.0, 5.0, "Pallavi")]
+
+
+def test_contributed_without_windows(spark, sf):
+    got = catalogue_document.contributed_rows(spark, sf)
+    assert plan(got).count("Window") == 1 == plan(got).count("Exchange")  # numbers of the lines alone
+    assert "REPARTITION_BY_NUM" in plan(got)
