@@ -9,6 +9,7 @@ from tessitura.functions import music, names
 from tessitura.operators import frames as fr
 from tessitura.operators import kernels, tune
 from tessitura.operators import library as lib
+from tessitura.operators.staging import dealt
 from tessitura.streaming import practice
 
 QUERIES: dict = {}
@@ -336,7 +337,7 @@ def chain_cluster(spark, sf_dir):
 
 @query("""select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, count(b.l_orderkey) as depth from lineitem a left join lineitem b on a.l_orderkey = b.l_orderkey and b.l_quantity < a.l_quantity and b.l_quantity >= a.l_quantity - 10 group by all""")
 def band_join_depth(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_quantity").rangeBetween(-10, -1)
     d = li.withColumn("depth", F.count("*").over(w))
     return d.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.sum("depth").alias("depth"))

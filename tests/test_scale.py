@@ -69,3 +69,7 @@ def test_contributed_without_windows(spark, sf):
     got = catalogue_document.contributed_rows(spark, sf)
     assert plan(got).count("Window") == 1 == plan(got).count("Exchange")  # numbers of the lines alone
     assert "REPARTITION_BY_NUM" in plan(got)
+
+
+def test_band_join_dealt_by_bytes(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(catalogue.band_join_depth(spark, sf))
