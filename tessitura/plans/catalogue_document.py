@@ -64,7 +64,8 @@ def contributed_flat(spark, sf_dir):
 def document_structure(spark, sf_dir):
     """Documents with a field put in."""
     d = document.with_structure(document.documents(notation_rows(spark, sf_dir), "l_orderkey", F.lit("Adi"), F.lit(1)), F.lit("two halves"))
-    return d.select("l_orderkey", F.get_json_object("document", "$.structure").alias("structure"), F.size(F.from_json(F.get_json_object("document", "$.sections"), "array<struct<name:string>>")).alias("sections"))
+    d = d.select("l_orderkey", F.from_json("document", "structure string, sections array<struct<name:string>>").alias("d"))
+    return d.select("l_orderkey", "d.structure", F.size("d.sections").alias("sections"))
 
 
 @query("""select event_id, case event_id % 6 when 0 then 'n' || event_id when 1 then 'a' || event_id when 2 then 's' || event_id when 3 then 't' || event_id when 4 then (event_id % 9)::varchar end as value from events""")

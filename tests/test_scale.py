@@ -73,3 +73,10 @@ def test_contributed_without_windows(spark, sf):
 
 def test_band_join_dealt_by_bytes(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(catalogue.band_join_depth(spark, sf))
+
+
+def test_structure_reads_a_document_once(spark):
+    docs = spark.createDataFrame([(1, '{"tala":"Adi","gridFactor":2,"sections":[{"name":"x","svaras":[{"s":"S","o":1}]}]}'), (2, None)], "id int, document string")
+    got = document.with_structure(docs, F.lit("two"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.id: r.document for r in got.collect()} == {1: '{"tala":"Adi","gridFactor":2,"sections":[{"name":"x","svaras":[{"s":"S","o":1}]}],"structure":"two"}', 2: None}
