@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,11 @@ TALAS = {"Dhruva": "LDLL", "Matya": "LDL", "Rupaka": "DL", "Jhampa": "LAD", "Tri
 JATHIS = {"Tisra": 3, "Chaturasra": 4, "Khanda": 5, "Misra": 7, "Sankeerna": 9}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once. Written out, an expression would be worked out at each place where it stands, in a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cents(hz: Column, tonic: Column | float) -> Column:
     """1200 * log2(hz / tonic); null where hz isn't positive."""
     return F.when(hz > 0, 1200 * F.log2(hz / tonic))

@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessitura.functions.music import let
 from tessitura.functions.names import PHONETIC, fold, phonetic_key
 
 # Usual names by folded spelling; jathis by spelling; talas that take a jathi.
@@ -76,32 +77,43 @@ def _longest(n: Column, names) -> Column:
 
 def family(name: Column) -> Column:
     """capu, adi, or the longest name of a family that the name contains."""
-    n = _bare(name)
+    return let(_bare(name), _family)
+
+
+def _family(n: Column) -> Column:
     return F.when(F.contains(n, F.lit("capu")), "capu").when(F.contains(n, F.lit("adi")) & ~F.contains(n, F.lit("jati")), "adi").otherwise(_longest(n, STRUCTURE))
 
 
 def angas(name: Column) -> Column:
     """Beats of the angas; null for what is no tala."""
-    n = _bare(name)
+    return let(_bare(name), lambda n: let(_longest(n, STRUCTURE), lambda fam: _angas(n, fam)))
+
+
+def _angas(n: Column, fam: Column) -> Column:
     whole = F.coalesce(*[F.when(F.contains(n, F.lit(k)), F.array(F.lit(v))) for k, v in CHAPU.items()])
     halves = F.coalesce(*[F.when(F.startswith(n, F.lit(j)), F.array(F.lit(v // 2), F.lit(v - v // 2))) for j, v in JATI.items()])
-    fam = _longest(n, STRUCTURE)
     laghu = F.coalesce(_map(JATI)[_longest(n, JATI)], _map(USUAL)[fam])
-    shape = F.transform(F.split(_map(STRUCTURE)[fam], ""), lambda a: F.when(a == "L", laghu).otherwise(a.try_cast("int")))
+    shape = let(laghu, lambda x: F.transform(F.split(_map(STRUCTURE)[fam], ""), lambda a: F.when(a == "L", x).otherwise(a.try_cast("int"))))
     adi = F.array(F.lit(4), F.lit(2), F.lit(2))
     return F.when(F.contains(n, F.lit("capu")), F.coalesce(whole, halves)).when(F.contains(n, F.lit("adi")) & ~F.contains(n, F.lit("jati")), adi).when(fam.isNotNull(), shape)
 
 
 def total(name: Column) -> Column:
-    a = angas(name)
-    return F.when(a.isNotNull(), F.aggregate(a, F.lit(0), lambda t, x: t + x))
+    return _total(angas(name))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda t, x: t + x)
 
 
 def engine_label(name: Column) -> Column:
     """The label that bars are looked up by, as "Khanda Triputa — 9 beats"; null for chapus, Adi and what is no tala."""
-    fam, a = family(name), angas(name)
-    laghu = F.when(fam == "rupaka", F.get(a, F.lit(1))).otherwise(F.get(a, F.lit(0)))
-    return F.concat(_map(JATI_NAMES)[laghu], F.lit(" "), _map(FAMILY_NAMES)[fam], F.lit(" — "), total(name).cast("string"), F.lit(" beats"))
+    def label(x: Column) -> Column:
+        fam, a = x["fam"], x["a"]
+        laghu = F.when(fam == "rupaka", F.get(a, F.lit(1))).otherwise(F.get(a, F.lit(0)))
+        return F.concat(_map(JATI_NAMES)[laghu], F.lit(" "), _map(FAMILY_NAMES)[fam], F.lit(" — "), _total(a).cast("string"), F.lit(" beats"))
+
+    return let(F.struct(family(name).alias("fam"), angas(name).alias("a")), label)
 
 
 def clean_name(name: Column) -> Column:
@@ -113,15 +125,16 @@ def clean_name(name: Column) -> Column:
 
 def display_tala(name: Column) -> Column:
     """The name that is shown: Adi, the label, or a readable form of the name itself."""
-    lab = engine_label(name)
-    khanda = F.when(F.contains(name, F.lit("khanda")), "Khanda Chapu").otherwise(clean_name(name))
-    return (
-        F.when((family(name) == "adi") | F.contains(name, F.lit("adi")) & ~F.contains(name, F.lit("jati")), "Adi").when(F.startswith(lab, F.lit("Chaturasra Eka")), "Chaturasra Eka")
-        .when(lab.isNull() & F.contains(name, F.lit("capu")), khanda).otherwise(F.coalesce(lab, clean_name(name)))
-    )
+    adi = (family(name) == "adi") | F.contains(name, F.lit("adi")) & ~F.contains(name, F.lit("jati"))
+    khanda = lambda: F.when(F.contains(name, F.lit("khanda")), "Khanda Chapu").otherwise(clean_name(name))
+    shown = lambda lab: F.when(F.startswith(lab, F.lit("Chaturasra Eka")), "Chaturasra Eka").when(lab.isNull() & F.contains(name, F.lit("capu")), khanda()).otherwise(F.coalesce(lab, clean_name(name)))
+    return F.when(adi, "Adi").otherwise(let(engine_label(name), shown))
 
 
 def tala_and_jathi(label: Column) -> Column:
     """struct<tala,jathi> of a canonical label ("Khanda Triputa", with or without beats) or of a usual name; null for chapus and what is unknown: no bars."""
-    m = lambda k: F.regexp_extract(label, r"^(" + "|".join(JATI_NAMES.values()) + r") (" + "|".join(FAMILY_NAMES.values()) + r")( — \d+ beats)?$", k)
-    return F.when(label.isin("Adi", "Desadi", "Madhyadi"), F.struct(F.lit("Triputa").alias("tala"), F.lit("Chaturasra").alias("jathi"))).when(m(1) != "", F.struct(m(2).alias("tala"), m(1).alias("jathi")))
+    def read(x: Column) -> Column:
+        m = lambda k: F.regexp_extract(x, r"^(" + "|".join(JATI_NAMES.values()) + r") (" + "|".join(FAMILY_NAMES.values()) + r")( — \d+ beats)?$", k)
+        return F.when(x.isin("Adi", "Desadi", "Madhyadi"), F.struct(F.lit("Triputa").alias("tala"), F.lit("Chaturasra").alias("jathi"))).when(m(1) != "", F.struct(m(2).alias("tala"), m(1).alias("jathi")))
+
+    return let(label, read)

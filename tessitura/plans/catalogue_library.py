@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import music, names, talas
 from tessitura.operators import records, scales
+from tessitura.operators.staging import dealt
 from tessitura.plans.catalogue import _FOLD, _rewritten, _squeezed, query, table
 from tessitura.plans.catalogue_notation import _NUMBERED, numbered
 
@@ -110,7 +111,8 @@ SHORT = ["adi", "khandajatitriputa", "misrajatieka", "ekatala", "caturasrajatiru
 
 
 def _raw(spark, sf_dir, values):
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*[F.lit(x) for x in values]), (F.col("p_partkey") % len(values)).cast("int")).alias("raw"))
+    """A written value for each part. The table is one small file and what is made of its rows is dear, so they are dealt out."""
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", each=1 << 18).select("p_partkey", F.get(F.array(*[F.lit(x) for x in values]), (F.col("p_partkey") % len(values)).cast("int")).alias("raw"))
 
 
 _CLEANED = r"regexp_replace(regexp_replace(raw, '\(.*?\)', ' ', 'g'), '(?i)\b(jati|jathi|talam?|nadai)\b', ' ', 'g')"
@@ -158,8 +160,7 @@ def tala_angas(spark, sf_dir):
 def tala_labels(spark, sf_dir):
     """What is shown for a tala, and the tala and jathi that bars come from."""
     d = _raw(spark, sf_dir, SHORT).withColumn("shown", talas.display_tala(F.col("raw")))
-    t = talas.tala_and_jathi(F.col("shown"))
-    return d.select("p_partkey", "shown", t["tala"].alias("tala"), t["jathi"].alias("jathi"))
+    return d.select("p_partkey", "shown", talas.tala_and_jathi(F.col("shown")).alias("t")).select("p_partkey", "shown", "t.tala", "t.jathi")
 
 
 # Names.

@@ -80,3 +80,11 @@ def test_structure_reads_a_document_once(spark):
     got = document.with_structure(docs, F.lit("two"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert {r.id: r.document for r in got.collect()} == {1: '{"tala":"Adi","gridFactor":2,"sections":[{"name":"x","svaras":[{"s":"S","o":1}]}],"structure":"two"}', 2: None}
+
+
+def test_talas_work_a_name_out_once(spark, sf):
+    got = catalogue_library.tala_labels(spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(got)
+    shown = spark.range(1).select(F.lit("khandajatitriputa").alias("x"), F.col("id")).filter("id >= 0").select(talas.display_tala(F.concat("x", F.col("id").cast("string"))).alias("s"))
+    assert str(shown._jdf.queryExecution().analyzed().toString()).count("regexp_replace") <= 10
+    assert shown.first().s == "Khanda Triputa — 9 beats"
