@@ -226,12 +226,16 @@ def octave_path(zipped: str, stray: float = 0.25) -> Column:
 
     Three states, so a fold over the array does it: the state is the last place, and for each octave the cheapest cost and its path. Null pins are open;
     a pin beyond the three octaves pins nothing else than itself, so such rows have no path. Sections are short; paths are copied at each step."""
+    return F.expr(_octave_path(zipped, stray))
+
+
+def _octave_path(zipped: str, stray: float = 0.25) -> str:
     state = "named_struct('p', 0, 'n', 0, 'c', array(0D, 0D, 0D), 'w', cast(array(array(), array(), array()) as array<array<int>>))"
     best = f"""transform(array(-1, 0, 1), o -> if(x.pin is not null and x.pin <> o, named_struct('cost', 1e300D, 'q', 0), if(a.n = 0, named_struct('cost', {stray} * abs(o), 'q', 0),
-        array_min(transform(array(-1, 0, 1), q -> named_struct('cost', cast(a.c[q + 1] + {stray} * abs(o) + abs(x.p + 12 * o - a.p - 12 * q) as double), 'q', q))))))"""
+        least({", ".join(f"named_struct('cost', cast(a.c[{q + 1}] + {stray} * abs(o) + abs(x.p + 12 * o - a.p - {12 * q}) as double), 'q', {q})" for q in (-1, 0, 1))}))))"""
     step = f"""(a, x) -> transform(array({best}), b -> named_struct('p', x.p, 'n', a.n + 1, 'c', transform(b, s -> s.cost), 'w', transform(array(0, 1, 2), k -> array_append(if(a.n = 0, cast(array() as array<int>), a.w[b[k].q + 1]), k - 1))))[0]"""
     finish = "a -> if(a.n = 0, cast(array() as array<int>), a.w[array_min(transform(array(0, 1, 2), k -> named_struct('c', a.c[k], 'k', k))).k])"
-    return F.expr(f"aggregate({zipped}, {state}, {step}, {finish})")
+    return f"aggregate({zipped}, {state}, {step}, {finish})"
 
 
 def octave_resolver(rows: DataFrame) -> DataFrame:
@@ -242,15 +246,15 @@ def octave_resolver(rows: DataFrame) -> DataFrame:
 
 def verify_octaves(rows: DataFrame) -> DataFrame:
     """(id, marked, missed, blind): of the marks (pins) of each row how many are not found again when each alone is hidden, and how many places differ when all are."""
-    open_pins = F.transform("places", lambda p: F.lit(None).cast("int"))
-    hide = F.filter(F.transform("pins", lambda p, k: F.when(p.isNotNull(), k)), lambda k: k.isNotNull())
-    hidden = rows.select("id", "places", "pins", F.explode(hide).alias("k")).select(F.struct("id", "k").alias("id"), "places", F.transform("pins", lambda p, j: F.when(j != F.col("k"), p)).alias("pins"))
-    whole = octave_resolver(rows).withColumnRenamed("octaves", "truth")
-    blind = octave_resolver(rows.select("id", "places", open_pins.alias("pins")))
-    one = octave_resolver(hidden).select(F.col("id.id").alias("id"), F.col("id.k").alias("k"), "octaves").join(whole, "id")
-    missed = one.groupBy("id").agg(F.count("*").alias("marked"), F.count_if(F.get("octaves", F.col("k")) != F.get("truth", F.col("k"))).alias("missed"))
-    wrong = whole.join(blind, "id").select("id", F.size(F.filter(F.zip_with("truth", "octaves", lambda x, y: x != y), lambda d: d)).alias("blind"))
-    return missed.join(wrong, "id").select("id", "marked", "missed", "blind")
+    zipped = F.transform(F.arrays_zip(F.col("places"), F.col("pins")), lambda z: F.struct(z["places"].cast("int").alias("p"), z["pins"].cast("int").alias("pin")))
+    d = rows.select("id", zipped.alias("__x")).filter(F.exists("__x", lambda z: z["pin"].isNotNull()))
+    hidden = lambda which: f"transform(__x, (z, j) -> named_struct('p', z.p, 'pin', if({which}, cast(null as int), z.pin)))"
+    d = d.select("id", "__x", octave_path("__x").alias("__t"), octave_path(hidden("true")).alias("__b"))
+    at = F.filter(F.transform("__x", lambda z, k: F.when(z["pin"].isNotNull(), k)), lambda k: k.isNotNull())
+    d = d.select("id", "__x", "__t", "__b", at.alias("__at"))
+    lost = F.expr(f"filter(__at, k -> get({_octave_path(hidden('j = k'))}, k) <> get(__t, k))")
+    blind = F.filter(F.zip_with("__t", "__b", lambda x, y: x != y), lambda d: d)
+    return d.select("id", F.size("__at").cast("long").alias("marked"), F.size(lost).cast("long").alias("missed"), F.size(blind).alias("blind"))
 
 
 def resample(x: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:

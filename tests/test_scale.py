@@ -88,3 +88,10 @@ def test_talas_work_a_name_out_once(spark, sf):
     shown = spark.range(1).select(F.lit("khandajatitriputa").alias("x"), F.col("id")).filter("id >= 0").select(talas.display_tala(F.concat("x", F.col("id").cast("string"))).alias("s"))
     assert str(shown._jdf.queryExecution().analyzed().toString()).count("regexp_replace") <= 10
     assert shown.first().s == "Khanda Triputa — 9 beats"
+
+
+def test_marks_are_hidden_without_joins(spark):
+    rows = spark.createDataFrame([(1, [0, 7, 2], [None, 1, 0]), (2, [0], [None]), (3, [], [])], "id int, places array<int>, pins array<int>")
+    got = kernels.verify_octaves(rows)
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)
+    assert [r.id for r in got.collect()] == [1] and got.first().marked == 2
