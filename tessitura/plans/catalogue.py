@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as pitch frames: a clip is a user's events in order."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"), "user_id")
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return e.select(F.col("user_id").alias("clip_id"), i.cast("long").alias("i"), "event_id", "event_type", F.col("value").alias("f0"), ((F.col("event_id") % 100) / 100).alias("conf"), ((F.col("event_id") * 7919) % 1000 / 1000).alias("rms"))
 

@@ -95,3 +95,7 @@ def test_marks_are_hidden_without_joins(spark):
     got = kernels.verify_octaves(rows)
     assert "Join" not in plan(got) and "Exchange" not in plan(got)
     assert [r.id for r in got.collect()] == [1] and got.first().marked == 2
+
+
+def test_frames_dealt_by_bytes(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(catalogue.fold12_cosine_topk(spark, sf)) and "REPARTITION_BY_NUM" in plan(catalogue.frames(spark, sf))
