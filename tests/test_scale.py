@@ -99,3 +99,11 @@ def test_marks_are_hidden_without_joins(spark):
 
 def test_frames_dealt_by_bytes(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(catalogue.fold12_cosine_topk(spark, sf)) and "REPARTITION_BY_NUM" in plan(catalogue.frames(spark, sf))
+
+
+def test_document_rows_without_windows(spark, sf):
+    got = catalogue_document.document_rows(spark, sf)
+    assert plan(got).count("Window") == 1 == plan(got).count("Exchange")
+    whole = '{"sections":[{"name":"x","svaras":[{"s":"S"},{"s":"R","sectionStart":"y"},{"s":"G"}]},{"name":"none"},{"name":"z","svaras":[]},{"name":"w","svaras":[{"s":"P"}]}]}'
+    docs = spark.createDataFrame([(1, whole), (2, "{}"), (3, None), (4, "no json")], "id int, document string")
+    assert [(r.id, r.section, r.name, r.pos, r.s) for r in document.document_rows(docs, "id").orderBy("section", "pos").collect()] == [(1, 0, "x", 0, "S"), (1, 1, "y", 0, "R"), (1, 1, "y", 1, "G"), (1, 2, "w", 0, "P")]
