@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions.music import let
+
 # Semitones of the written labels, names by the number of different notes, and labels of the twelve pitches of the tonic.
 PITCH = {"S": 0, "R1": 1, "R2": 2, "R3": 3, "G1": 2, "G2": 3, "G3": 4, "M1": 5, "M2": 6, "P": 7, "D1": 8, "D2": 9, "D3": 10, "N1": 9, "N2": 10, "N3": 11}
 COUNT_NAMES = {7: "sampurna", 6: "shadava", 5: "audava", 4: "svarantara", 3: "svarantara"}
@@ -55,8 +57,7 @@ def scale_places(ascent: Column, descent: Column) -> Column:
     """array<struct<pos,label>>: the first label of each semitone of both lines, lowest first."""
     labels = F.transform(F.concat(ascent, descent), bare)
     placed = F.filter(F.transform(labels, lambda t, k: F.struct(_map(PITCH)[t].alias("pos"), k.alias("k"), t.alias("label"))), lambda s: s["pos"].isNotNull())
-    ordered = F.array_sort(placed)
-    first = F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, i - 1)["pos"] != s["pos"]))
+    first = let(F.array_sort(placed), lambda o: F.filter(o, lambda s, i: (i == 0) | (F.get(o, i - 1)["pos"] != s["pos"])))
     return F.transform(first, lambda s: F.struct(s["pos"].alias("pos"), s["label"].alias("label")))
 
 

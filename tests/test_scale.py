@@ -107,3 +107,10 @@ def test_document_rows_without_windows(spark, sf):
     whole = '{"sections":[{"name":"x","svaras":[{"s":"S"},{"s":"R","sectionStart":"y"},{"s":"G"}]},{"name":"none"},{"name":"z","svaras":[]},{"name":"w","svaras":[{"s":"P"}]}]}'
     docs = spark.createDataFrame([(1, whole), (2, "{}"), (3, None), (4, "no json")], "id int, document string")
     assert [(r.id, r.section, r.name, r.pos, r.s) for r in document.document_rows(docs, "id").orderBy("section", "pos").collect()] == [(1, 0, "x", 0, "S"), (1, 1, "y", 0, "R"), (1, 1, "y", 1, "G"), (1, 2, "w", 0, "P")]
+
+
+def test_places_are_sorted_once(spark):
+    d = spark.createDataFrame([(["S", "R2", "G3"], ["S", "G1", "R2"])], "a array<string>, d array<string>")
+    got = d.select(scales.scale_places(F.col("a"), F.col("d")).alias("p"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
+    assert [tuple(x) for x in got.first().p] == [(0, "S"), (2, "R2"), (4, "G3")]
