@@ -6,7 +6,7 @@ Everything but octave repair and path decoding is native, and all steps are part
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +37,40 @@ class Config:
     temperament: str = "et"
 
 
-class Analysis(NamedTuple):
-    """contour (clip_id, i, cents, voiced, conf), tonic (clip_id, shift, applied), suggestions (clip_id, mela, score, rank), notes, quality (a row a clip)."""
+class Analysis:
+    """contour (clip_id, i, cents, voiced, conf), tonic (clip_id, shift, applied), suggestions (clip_id, mela, score, rank), notes, quality (a row a clip).
 
-    contour: DataFrame
-    tonic: DataFrame
-    suggestions: DataFrame
-    notes: DataFrame
-    quality: DataFrame
+    Each is worked out when it is first read, with what it rests on alone; the contour and the notes are then written out once, as several results are read from them."""
+
+    def __init__(self, frames: DataFrame, clips: DataFrame, scales: DataFrame, cfg: Config):
+        self._frames, self._clips, self._scales, self._cfg = frames, clips, scales, cfg
+
+    @cached_property
+    def contour(self) -> DataFrame:
+        return staged(clean_contour(self._frames, self._clips, self._cfg))
+
+    @cached_property
+    def _histogram(self) -> DataFrame:
+        return fr.smooth_histogram(fr.histogram(self.contour))
+
+    @cached_property
+    def tonic(self) -> DataFrame:
+        return tonic_shifts(self._histogram, self._clips, apply_from=self._cfg.apply_from, auto=self._cfg.auto_tonic, temperament=self._cfg.temperament)
+
+    @cached_property
+    def suggestions(self) -> DataFrame:
+        return fr.scale_matches(fr.fold12(self._histogram), self._scales)
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        path = kernels.decode_clips(fr.local_slope(self.contour), self._clips.join(self.tonic, "clip_id"), self._cfg)
+        return staged(fr.transit(fr.articulation(fr.notes_of_path(path, self._cfg.min_note)), self._cfg.transient))
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        by = self.contour.groupBy("clip_id").agg((F.count_if("voiced") / F.count("*")).alias("voiced_ratio"))
+        n = self.notes.groupBy("clip_id").agg(F.avg(F.abs("deviation")).alias("d"), F.avg("conf").alias("c"), F.count("*").alias("n"))
+        return by.join(n, "clip_id", "left").select("clip_id", F.coalesce("d", F.lit(0.0)).alias("mean_deviation"), F.coalesce("c", F.lit(0.0)).alias("mean_conf"), "voiced_ratio", F.coalesce("n", F.lit(0)).cast("long").alias("notes"))
 
 
 def direction_labels(line: Column) -> Column:
@@ -74,18 +100,8 @@ def tonic_shifts(hist: DataFrame, clips: DataFrame, most: int = 150, apply_from:
 def finish_analysis(frames: DataFrame, clips: DataFrame, scales: DataFrame, cfg: Config = Config()) -> Analysis:
     """Pitch frames (clip_id, i, f0, conf, rms) to notes. clips: (clip_id, tonic_hz, positions, labels, up, down), one row each; scales: all that may be suggested.
 
-    The contour and the notes are written out once, as several results are read from them. Clips without frames have a tonic row alone; clips whose frames are all unvoiced have no notes."""
-    contour = staged(clean_contour(frames, clips, cfg))
-    hist = fr.smooth_histogram(fr.histogram(contour))
-    tonic = tonic_shifts(hist, clips, apply_from=cfg.apply_from, auto=cfg.auto_tonic, temperament=cfg.temperament)
-    suggestions = fr.scale_matches(fr.fold12(hist), scales)
-    path = kernels.decode_clips(fr.local_slope(contour), clips.join(tonic, "clip_id"), cfg)
-    notes = fr.articulation(fr.notes_of_path(contour.join(path, ["clip_id", "i"]), cfg.min_note))
-    notes = staged(fr.transit(notes, cfg.transient))
-    by = contour.groupBy("clip_id").agg((F.count_if("voiced") / F.count("*")).alias("voiced_ratio"))
-    n = notes.groupBy("clip_id").agg(F.avg(F.abs("deviation")).alias("d"), F.avg("conf").alias("c"), F.count("*").alias("n"))
-    quality = by.join(n, "clip_id", "left").select("clip_id", F.coalesce("d", F.lit(0.0)).alias("mean_deviation"), F.coalesce("c", F.lit(0.0)).alias("mean_conf"), "voiced_ratio", F.coalesce("n", F.lit(0)).cast("long").alias("notes"))
-    return Analysis(contour, tonic, suggestions, notes, quality)
+    Clips without frames have a tonic row alone; clips whose frames are all unvoiced have no notes."""
+    return Analysis(frames, clips, scales, cfg)
 
 
 def analyze_samples(samples: DataFrame, clips: DataFrame, scales: DataFrame, cfg: Config = Config()) -> Analysis:
@@ -113,21 +129,52 @@ def reference_gate(aligned: DataFrame, clips: DataFrame, low: float = 0.5, high:
     return g.select("clip_id", F.when(F.col("n") > least, ratio).alias("ratio"), ((F.col("n") <= least) | ratio.between(low, high)).alias("octave_ok"))
 
 
+def known_clips(frames: DataFrame, clips: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Clips with ``frames`` and ``skipped``, why they aren't scored, and those that are."""
+    count = frames.groupBy("clip_id").agg(F.count("*").alias("frames"))
+    known = clips.join(count, "clip_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    known = known.withColumn("skipped", F.when(F.col("tonic_hz").isNull() | (F.col("tonic_hz") <= 0), "no tonic annotation").when(F.col("frames") < least, "segment too short"))
+    return known, known.filter("skipped is null").drop("skipped", "frames")
+
+
+def flat(jitter: float) -> Column:
+    return F.col("tonic_hz") * 2 ** (-jitter / 1200)
+
+
+def gated(own: DataFrame, reference: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The gate of each clip, and its reference (clip_id, i, gt, folded, high_rate) folded where the gate is open. Both read the aligned reference, which is written out."""
+    aligned = staged(align_reference(own, reference, used))
+    gate = reference_gate(aligned, used)
+    folded = fr.fold_references(aligned.join(gate, "clip_id").join(used.select("clip_id", "tonic_hz"), "clip_id"), F.col("octave_ok"))
+    return gate, folded.select("clip_id", "i", "gt", "folded", "high_rate")
+
+
+def folding(folded: DataFrame) -> DataFrame:
+    return folded.groupBy("clip_id").agg(F.first("high_rate").alias("high_rate"), F.count_if(F.col("gt") != F.col("folded")).alias("folded_frames"))
+
+
+def record_gates(frames: DataFrame, reference: DataFrame, clips: DataFrame, jitter: float = 0.0, least: int = 50) -> DataFrame:
+    """What ``score_records`` tells of each clip without its analysis: (clip_id, frames, skipped, ratio, octave_ok, high_rate, folded_frames, true_offset)."""
+    known, used = known_clips(frames, clips, least)
+    gate, folded = gated(frames.join(used.select("clip_id"), "clip_id", "left_semi"), reference, used)
+    off = used.select("clip_id", tonic_score(F.lit(0), flat(jitter), F.col("tonic_hz"))["true_offset"].alias("true_offset"))
+    out = known.select("clip_id", "frames", "skipped")
+    for part in (gate, folding(folded), off):
+        out = out.join(part, "clip_id", "left")
+    return out
+
+
 def score_records(frames: DataFrame, reference: DataFrame, clips: DataFrame, scales: DataFrame, cfg: Config = Config(), jitter: float = 0.0, least: int = 50, floor: float = 0.2) -> DataFrame:
     """One row for each clip of ``clips`` (clip_id, tonic_hz, start_s, name, positions, labels, up, down): why it is skipped, or its gates and scores.
 
     The analysis gets a tonic that is ``jitter`` cents flat. The gates read the reference and a probe of fixed voicing, so no parameter moves them. Raw
     pitch is the tracker's, processed what the decoder reads. clips without a tonic or with fewer than ``least`` frames are skipped."""
-    count = frames.groupBy("clip_id").agg(F.count("*").alias("frames"))
-    known = clips.join(count, "clip_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
-    known = known.withColumn("skipped", F.when(F.col("tonic_hz").isNull() | (F.col("tonic_hz") <= 0), "no tonic annotation").when(F.col("frames") < least, "segment too short"))
-    used = known.filter("skipped is null").drop("skipped", "frames")
-    wrong = used.withColumn("true_hz", F.col("tonic_hz")).withColumn("tonic_hz", F.col("tonic_hz") * 2 ** (-jitter / 1200))
-    own = frames.join(used.select("clip_id"), "clip_id", "left_semi")
+    known, used = known_clips(frames, clips, least)
+    wrong = used.withColumn("true_hz", F.col("tonic_hz")).withColumn("tonic_hz", flat(jitter))
+    own = staged(frames.join(used.select("clip_id"), "clip_id", "left_semi"))
     done = finish_analysis(own, wrong, scales, cfg)
-    aligned = align_reference(own, reference, used)
-    gate = reference_gate(aligned, used)
-    folded = fr.fold_references(aligned.join(gate, "clip_id").join(used.select("clip_id", "tonic_hz"), "clip_id"), F.col("octave_ok"))
+    gate, folded = gated(own, reference, used)
+    folded = staged(folded)
     gt = folded.select("clip_id", "i", F.col("folded").alias("gt"))
 
     def lagged(hz: DataFrame, name: str) -> DataFrame:
@@ -137,7 +184,7 @@ def score_records(frames: DataFrame, reference: DataFrame, clips: DataFrame, sca
     voiced = lambda c, s: fr.voicing_mask(own, c, s).select("clip_id", "i", F.when(F.col("voiced"), F.col("f0")).otherwise(0.0).alias("est"))
     processed = done.contour.join(wrong.select("clip_id", "tonic_hz"), "clip_id").select("clip_id", "i", F.when(F.col("voiced") & F.col("cents").isNotNull(), F.col("tonic_hz") * F.pow(F.lit(2.0), F.col("cents") / 1200)).otherwise(0.0).alias("est"))
     probe = lagged(voiced(0.5, 0.045), "probe").select("clip_id", F.col("probe.raw_chroma").alias("chroma"))
-    fold_rate = folded.groupBy("clip_id").agg(F.first("high_rate").alias("high_rate"), F.count_if(F.col("gt") != F.col("folded")).alias("folded_frames"))
+    fold_rate = folding(folded)
     truth = gt.join(used.select("clip_id", "tonic_hz", "positions", "labels"), "clip_id").filter("gt > 0")
     truth = truth.withColumn("s", fr.nearest_of(cents(F.col("gt"), F.col("tonic_hz")), F.col("positions"), F.col("labels"), cfg.temperament)).select("clip_id", "i", F.col("s.label").alias("gl"), F.col("s.oct").alias("go"))
     svara = fr.agreement(fr.note_frames(done.notes.filter("not transit"), truth, value="oct"))

@@ -206,9 +206,13 @@ def melody_scores(pairs: DataFrame, keys: list[str], tol: float = 50.0) -> DataF
 
 def best_lag(pairs: DataFrame, most: int = 3) -> DataFrame:
     """Scores at the lag of the estimate, -most to most frames, with the best raw pitch accuracy; the most negative on ties."""
-    est = pairs.select("clip_id", F.col("i").alias("j"), "est")
-    gt = pairs.select("clip_id", "i", "gt", F.explode(F.array(*[F.lit(k) for k in range(-most, most + 1)])).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    scores = melody_scores(gt.join(est, ["clip_id", "j"]), ["clip_id", "lag"])
+    # Frames of a clip differ in i, so the frame at i + lag stands at most as many rows away: looked up in order, nothing is exploded before a join.
+    here = F.struct("i", "est")
+    d = pairs.withColumns({f"__{k}": F.lead(here, k).over(_order()) if k > 0 else F.lag(here, -k).over(_order()) if k else here for k in range(-most, most + 1)})
+    rows = lambda lag: range(1, lag + 1) if lag > 0 else range(lag, 0) if lag else [0]
+    at = [F.coalesce(*[F.when(F.col(f"__{k}.i") == F.col("i") + lag, F.struct(F.lit(lag).alias("lag"), F.col(f"__{k}.est").alias("est"))) for k in rows(lag)]) for lag in range(-most, most + 1)]
+    d = d.select("clip_id", "gt", F.explode(F.array(*at)).alias("a")).filter("a is not null").select("clip_id", "gt", "a.lag", "a.est")
+    scores = melody_scores(d, ["clip_id", "lag"])
     rank = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("raw_pitch"), "lag"))
     return scores.withColumn("__r", rank).filter("__r = 1").drop("__r")
 

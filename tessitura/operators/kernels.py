@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.music import EQUAL, FMAX, FMIN, HOP, JUST, WINDOW
@@ -94,15 +94,42 @@ def repair_octaves(df: DataFrame) -> DataFrame:
     return df.select("clip_id", "i", "cents", "voiced").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, repaired double")
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Adds ``__k``, a row's number in its clip. So the rows of a clip lie one after another in one partition, for ``whole_clips``."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy("clip_id").orderBy("i")))
+
+
+def whole_clips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows of ``in_order`` cut anew, so that none ends within a clip: what is held is a batch and a clip, and a batch's clips share its costs."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch["__k"].to_numpy() == 1)
+        if len(starts):
+            if held or starts[-1]:
+                yield pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True)
+            held = [batch.iloc[starts[-1] :]]
+        elif len(batch):
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def spans(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Where the clips of ``whole_clips`` begin and end."""
+    at = [*np.flatnonzero(pdf["__k"].to_numpy() == 1).tolist(), len(pdf)]
+    return list(zip(at, at[1:]))
+
+
 def repaired(df: DataFrame) -> DataFrame:
     """(clip_id, i, cents, voiced, conf) with octaves repaired in the cents of voiced frames; the others stay."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        voiced, c = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float)
-        return pdf.assign(cents=pd.array(np.where(voiced, repair(np.nan_to_num(c), voiced), c), "Float64"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_clips(batches):
+            voiced, c = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float)
+            fixed = [np.where(voiced[a:b], repair(np.nan_to_num(c[a:b]), voiced[a:b]), c[a:b]) for a, b in spans(pdf)]
+            yield pdf.drop(columns="__k").assign(cents=pd.array(np.concatenate(fixed), "Float64"))
 
-    return df.select("clip_id", "i", "cents", "voiced", "conf").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, cents double, voiced boolean, conf double")
+    return in_order(df.select("clip_id", "i", "cents", "voiced", "conf")).mapInPandas(run, "clip_id long, i long, cents double, voiced boolean, conf double")
 
 
 def viterbi(cents: np.ndarray, voiced: np.ndarray, conf: np.ndarray, states: np.ndarray, sigma: float = 55.0, switch: float = 5.0, silence: float = 6.0, up: np.ndarray | None = None, down: np.ndarray | None = None, slope: np.ndarray | None = None, occupancy: float = 2.2, direction: float | None = None) -> np.ndarray:
@@ -155,30 +182,86 @@ def viterbi_decode(df: DataFrame, positions: list[int], labels: list[str], **how
     return df.select("clip_id", "i", "cents", "voiced", "conf").groupBy("clip_id").applyInPandas(run, "clip_id long, i long, label string, oct int")
 
 
+def viterbi_all(clips: list[dict], sigma: float = 55.0, switch: float = 5.0, silence: float = 6.0, occupancy: float = 2.2, direction: float | None = None) -> list[np.ndarray]:
+    """``viterbi`` of many clips (cents, voiced, conf, states, up, down, slope; up and down None without grammar), a frame of all at a time.
+
+    Shorter clips stand still at their end, and places that a clip lacks cost infinitely much; silence comes last, so ties fall as there."""
+    n, k, many = max(len(c["cents"]) for c in clips), max(len(c["states"]) for c in clips), len(clips)
+    cost, emit = np.full((many, k + 1, k + 1), np.inf), np.full((many, n, k + 1), -np.inf)  # cost: to, from
+    for m, c in enumerate(clips):
+        own, length, states, voiced, up, down = len(c["states"]), len(c["cents"]), c["states"], c["voiced"], c["up"], c["down"]
+        move = np.full((own, own), float(switch))
+        z = (np.nan_to_num(c["cents"])[:, None] - states) / sigma
+        heard = np.where(voiced[:, None], -0.5 * z * z * (0.35 + 0.65 * c["conf"][:, None]), -silence)
+        if up is not None:
+            move += np.where(states[None, :] > states[:, None], ~up[None, :], ~down[None, :]) * (switch if direction is None else direction)
+            heard -= occupancy * voiced[:, None] * ((c["slope"][:, None] > 4) & ~up | (c["slope"][:, None] < -4) & ~down)
+        cost[m, :own, :own] = move.T
+        cost[m, k, :own] = cost[m, :own, k] = 1.5 * switch
+        emit[m, :length, :own] = heard
+        emit[m, :length, k] = np.where(voiced, -silence, 0.0)
+    own = np.arange(k + 1)
+    cost[:, own, own] = 0
+    going = np.arange(n)[None, :] < np.array([len(c["cents"]) for c in clips])[:, None]
+    back, best = np.zeros((n, many, k + 1), np.int32), emit[:, 0].copy()
+    for i in range(1, n):
+        v = best[:, None, :] - cost
+        j = v.argmax(2)
+        at = np.take_along_axis(v, j[:, :, None], 2)[:, :, 0]
+        stay = best >= at
+        on = going[:, i, None]
+        back[i] = np.where(stay | ~on, own, j)
+        best = np.where(on, np.where(stay, best, at) + emit[:, i], best)
+    path, each = np.empty((n, many), np.int64), np.arange(many)
+    path[-1] = best.argmax(1)
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = back[i, each, path[i]]
+    path[path == k] = -1
+    return [path[: len(c["cents"]), m] for m, c in enumerate(clips)]
+
+
+#: Clips that are decoded together, and the frames of theirs, ends filled up: what the kernel holds and what stays in a cache.
+TOGETHER, FRAMES = 64, 1 << 16
+
+
 def decode_clips(contour: DataFrame, clips: DataFrame, cfg) -> DataFrame:
-    """(clip_id, i, state): the cheapest path of each clip of (clip_id, i, cents, voiced, conf, slope) through its own scale.
+    """The rows of contour (clip_id, i, cents, voiced, conf, slope) with ``state``: the cheapest path of each clip through its own scale.
 
-    clips: (clip_id, positions, labels, up, down, applied). The places within 150 cents of the clip's range, all moved by the applied shift, are the states;
-    with the grammar on, a place may be entered rising if its label is in ``up`` and falling if in ``down``, the tonic always. state: struct<cents,pos,label,
-    oct>, null for silence."""
+    clips: (clip_id, positions, labels, up, down, applied), one row each. The places within 150 cents of the clip's range, all moved by the applied shift, are
+    the states; with the grammar on, a place may be entered rising if its label is in ``up`` and falling if in ``down``, the tonic always. state:
+    struct<cents,pos,label,oct>, null for silence. A clip's own scale goes to the kernel with its first frame alone."""
     table = JUST if cfg.temperament == "ji" else EQUAL
+    columns = ["clip_id", "i", "cents", "voiced", "conf"]
 
-    def run(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(own):
-            return pd.DataFrame({"clip_id": pd.Series(dtype="int64"), "i": pd.Series(dtype="int64"), "state": pd.Series(dtype=object)})
-        pdf, clip = pdf.sort_values("i"), own.iloc[0]
-        voiced, cents, shift = pdf["voiced"].to_numpy(bool), pdf["cents"].to_numpy(float), float(clip["applied"])
+    def clip(d: dict, own) -> tuple[list, dict]:
+        voiced, cents, shift = d["voiced"], d["cents"], float(own["applied"])
         low, high = (cents[voiced].min(), cents[voiced].max()) if voiced.any() else (-1200.0, 1200.0)
-        every = [(o * 1200 + table[p] + shift, int(p), s, o) for o in range(-3, 4) for p, s in zip(clip["positions"], clip["labels"])]
+        every = [(o * 1200 + table[p] + shift, int(p), s, o) for o in range(-3, 4) for p, s in zip(own["positions"], own["labels"])]
         states = sorted((t for t in every if low - 150 <= t[0] <= high + 150), key=lambda t: t[0])
-        up, down = (np.array([t[2] == "S" or t[2] in set(clip[c]) for t in states], bool) if cfg.grammar else None for c in ("up", "down"))
-        path = viterbi(cents, voiced, pdf["conf"].to_numpy(float), np.array([t[0] for t in states], float), cfg.sigma, cfg.switch, cfg.silence_penalty, up, down, np.nan_to_num(pdf["slope"].to_numpy(float)), cfg.occupancy, cfg.direction)
-        named = [dict(zip(("cents", "pos", "label", "oct"), t)) for t in states]
-        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy(), "i": pdf["i"].to_numpy(), "state": pd.Series([named[k] if k >= 0 else None for k in path], dtype=object)})
-
-    left = contour.select("clip_id", "i", "cents", "voiced", "conf", "slope").groupBy("clip_id")
-    right = clips.select("clip_id", "positions", "labels", "up", "down", "applied").groupBy("clip_id")
-    return left.cogroup(right).applyInPandas(run, "clip_id long, i long, state struct<cents:double,pos:int,label:string,oct:int>")
+        named = {c: set(own[c]) for c in ("up", "down")} if cfg.grammar else {}
+        up, down = (np.array([t[2] == "S" or t[2] in named[c] for t in states], bool) if named else None for c in ("up", "down"))
+        return states, d | {"states": np.array([t[0] for t in states], float), "up": up, "down": down}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_clips(batches):
+            column = {"cents": pdf["cents"].to_numpy(float), "voiced": pdf["voiced"].to_numpy(bool), "conf": pdf["conf"].to_numpy(float), "slope": np.nan_to_num(pdf["slope"].to_numpy(float))}
+            own, at = pdf["own"].to_numpy(), spans(pdf)
+            out = {"s_cents": np.full(len(pdf), np.nan), "s_pos": np.zeros(len(pdf), np.int32), "s_label": np.full(len(pdf), None, object), "s_oct": np.zeros(len(pdf), np.int32)}
+            todo = sorted(at, key=lambda s: s[0] - s[1])  # the longest first
+            while todo:
+                count = max(1, min(TOGETHER, FRAMES // (todo[0][1] - todo[0][0])))
+                now, todo = todo[:count], todo[count:]
+                read = [clip({c: x[a:b] for c, x in column.items()}, own[a]) for a, b in now]
+                for (a, b), (states, _), path in zip(now, read, viterbi_all([d for _, d in read], cfg.sigma, cfg.switch, cfg.silence_penalty, cfg.occupancy, cfg.direction)):
+                    for name, values, none in zip(out, zip(*states), (np.nan, 0, None, 0)):
+                        out[name][a:b] = np.array([*values, none], out[name].dtype)[path]
+            yield pdf[columns].assign(**out)
+
+    d = contour.join(clips.select("clip_id", F.struct("positions", "labels", "up", "down", "applied").alias("own")), "clip_id")
+    d = in_order(d).select(*columns, "slope", "__k", F.when(F.col("__k") == 1, F.col("own")).alias("own"))
+    d = d.mapInPandas(run, "clip_id long, i long, cents double, voiced boolean, conf double, s_cents double, s_pos int, s_label string, s_oct int")
+    state = F.struct(*[F.col(f"s_{c}").alias(c) for c in ("cents", "pos", "label", "oct")])
+    return d.select(*columns, F.when(F.col("s_cents").isNotNull(), state).alias("state"))
 
 
 def align(a: list, b: list, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> list[tuple[int, int]]:

@@ -33,9 +33,14 @@ def query(sql: str | None = None):
     return add
 
 
+def by_user(events: DataFrame) -> DataFrame:
+    """Events dealt out by user: small parts, as the analysis holds many sorts of one at a time."""
+    return dealt(events, "user_id", each=1 << 19)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as pitch frames: a clip is a user's events in order."""
-    e = dealt(table(spark, sf_dir, "events"), "user_id")
+    e = by_user(table(spark, sf_dir, "events"))
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return e.select(F.col("user_id").alias("clip_id"), i.cast("long").alias("i"), "event_id", "event_type", F.col("value").alias("f0"), ((F.col("event_id") % 100) / 100).alias("conf"), ((F.col("event_id") * 7919) % 1000 / 1000).alias("rms"))
 

@@ -8,7 +8,7 @@ from tessitura.functions import music
 from tessitura.operators import analysis
 from tessitura.operators import frames as fr
 from tessitura.operators import kernels
-from tessitura.plans.catalogue import FRAMES, frames, query, scored_pairs
+from tessitura.plans.catalogue import FRAMES, by_user, frames, query, scored_pairs, table
 
 #: Cents of the twelve places, the scales' places, and the tonic and scale of a clip, as SQL.
 _TONIC = "55.0::double * (1 + (clip_id % 5) / 50.0::double)"
@@ -25,7 +25,8 @@ def scales(spark):
 
 def clips(spark, sf_dir):
     """(clip_id, tonic_hz, start_s, mela, name, positions, labels, up, down)."""
-    ids = frames(spark, sf_dir).select("clip_id").distinct().withColumn("mela", (F.col("clip_id") % 72 + 1).cast("int"))
+    # Dealt out as the frames are, so that joins with them deal nothing out anew.
+    ids = by_user(table(spark, sf_dir, "events").select("user_id").distinct()).select(F.col("user_id").alias("clip_id")).withColumn("mela", (F.col("clip_id") % 72 + 1).cast("int"))
     d = ids.join(F.broadcast(scales(spark)), "mela")
     return d.withColumn("tonic_hz", F.lit(55.0) * (1 + F.col("clip_id") % 5 / F.lit(50.0))).withColumn("start_s", F.col("clip_id") % 3 / F.lit(2.0))
 
@@ -119,7 +120,8 @@ _MARKED = f"""ref as (select clip_id, i, case when (event_id * 31) % 10 < 8 then
   from cnt left join o using (clip_id) left join w using (clip_id)""")
 def record_gate_scores(spark, sf_dir):
     """Which records are scored: skipped, octave gate, folding, and the known error of the tonic."""
-    return _scores(spark, sf_dir).select("clip_id", "frames", "skipped", F.round("ratio", 6).alias("ratio"), "octave_ok", F.round("high_rate", 6).alias("high_rate"), "folded_frames", F.round("tonic.true_offset", 6).alias("true_offset"))
+    g = analysis.record_gates(frames(spark, sf_dir), _reference(spark, sf_dir), clips(spark, sf_dir), jitter=30.0)
+    return g.select("clip_id", "frames", "skipped", F.round("ratio", 6).alias("ratio"), "octave_ok", F.round("high_rate", 6).alias("high_rate"), "folded_frames", F.round("true_offset", 6).alias("true_offset"))
 
 
 @query()

@@ -2,13 +2,16 @@
 
 import os
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessitura.functions import talas
-from tessitura.operators import audit, document, kernels, notation, scales
+from tessitura.operators import analysis, audit, document, kernels, notation, scales
 from tessitura.operators import frames as fr
 from tessitura.operators.staging import dealt
-from tessitura.plans import catalogue, catalogue_document, catalogue_library, catalogue_sources
+from tessitura.plans import catalogue, catalogue_analysis, catalogue_document, catalogue_library, catalogue_sources
 from tessitura.sources import text
 
 
@@ -114,3 +117,31 @@ def test_places_are_sorted_once(spark):
     got = d.select(scales.scale_places(F.col("a"), F.col("d")).alias("p"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
     assert [tuple(x) for x in got.first().p] == [(0, "S"), (2, "R2"), (4, "G3")]
+
+
+@pytest.mark.parametrize("grammar", [True, False])
+def test_paths_together_as_one_by_one(grammar):
+    rng = np.random.default_rng(7)
+    clips = []
+    for n, k in ((40, 9), (1, 3), (17, 0), (40, 1), (66, 21)):
+        states = np.sort(rng.choice(np.arange(-24, 24), k, replace=False)) * 100.0
+        up, down = (rng.random(k) < 0.6 if grammar else None for _ in range(2))
+        clips.append({"cents": np.round(rng.normal(0, 700, n), -2), "voiced": rng.random(n) < 0.8, "conf": np.round(rng.random(n), 1), "states": states, "up": up, "down": down, "slope": rng.normal(0, 9, n)})
+    got = kernels.viterbi_all(clips, switch=1.5, sigma=80.0)
+    for c, path in zip(clips, got):
+        assert path.tolist() == kernels.viterbi(c["cents"], c["voiced"], c["conf"], c["states"], switch=1.5, sigma=80.0, up=c["up"], down=c["down"], slope=c["slope"]).tolist()
+
+
+def test_clips_whole_in_any_batches():
+    d = pd.DataFrame({"clip_id": [1] * 5 + [2] + [3] * 4, "__k": [1, 2, 3, 4, 5, 1, 1, 2, 3, 4]})
+    for size in (1, 2, 3, 6, 10):
+        parts = list(kernels.whole_clips(d.iloc[k : k + size] for k in range(0, 10, size)))
+        assert pd.concat(parts, ignore_index=True).equals(d) and all(p["__k"].iloc[0] == 1 for p in parts)
+        assert sum(len(kernels.spans(p)) for p in parts) == 3
+    assert not list(kernels.whole_clips(iter([])))
+
+
+def test_kernels_take_many_clips_at_once(spark, sf):
+    """No group of a clip for Python, and no join of paths with frames."""
+    got = plan(analysis.clean_contour(catalogue.frames(spark, sf), catalogue_analysis.clips(spark, sf)))
+    assert "FlatMapGroups" not in got and "MapInPandas" in got
