@@ -119,6 +119,16 @@ def test_places_are_sorted_once(spark):
     assert [tuple(x) for x in got.first().p] == [(0, "S"), (2, "R2"), (4, "G3")]
 
 
+@pytest.mark.parametrize("name", ["tonic_correction", "scale_suggestions", "record_gate_scores"])
+def test_results_without_notes(spark, sf, monkeypatch, name):
+    """What rests on the contour alone decodes no path."""
+    def none(*a, **k):
+        raise AssertionError("decoded")
+
+    monkeypatch.setattr(kernels, "decode_clips", none)
+    assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
 @pytest.mark.parametrize("grammar", [True, False])
 def test_paths_together_as_one_by_one(grammar):
     rng = np.random.default_rng(7)
