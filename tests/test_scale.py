@@ -155,3 +155,10 @@ def test_kernels_take_many_clips_at_once(spark, sf):
     """No group of a clip for Python, and no join of paths with frames."""
     got = plan(analysis.clean_contour(catalogue.frames(spark, sf), catalogue_analysis.clips(spark, sf)))
     assert "FlatMapGroups" not in got and "MapInPandas" in got
+
+
+def test_lags_without_joins(spark):
+    pairs = spark.createDataFrame([(1, i, 200.0 + 9 * i, 200.0 + 9 * (i - 2)) for i in (*range(12), 14, 15, 17)], "clip_id int, i long, est double, gt double")
+    got = fr.best_lag(pairs)
+    assert "Join" not in plan(got)
+    assert (got.first().lag, got.first().frames, got.first().raw_pitch) == (-2, 11, 1.0)
